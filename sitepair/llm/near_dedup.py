@@ -35,7 +35,7 @@ ROWS, BANDS = 4, 24
 REGISTERS = ROWS * BANDS
 #: A link has 58 or more of 96 registers in common, but for a chance of 1e-6.
 AGREE = 58
-BLOCK = 256
+BLOCK = 2048
 _U = np.uint64
 
 
@@ -194,17 +194,24 @@ def _verify_blocks(batches):
     for table in groups(batches, 3):
         rows = table.to_pylist()
         bi, bj = rows[0]["bi"], rows[0]["bj"]
-        here = {r["rep"]: (r["label"], r["blk"], shingles(r["text"].encode())) for r in rows if r["text"] is not None}
+        here = {r["rep"]: [r["label"], r["blk"], r["text"], None] for r in rows if r["text"] is not None}
+
+        def own_shingles(entry):
+            if entry[3] is None:
+                entry[2:] = None, shingles(entry[2].encode())
+            return entry[3]
+
         classes, links = _Union(), []
         for r in rows:
             if r["partners"] is None or r["rep"] not in here:
                 continue
-            label, block, own = here[r["rep"]]
+            mine = here[r["rep"]]
+            label, block = mine[:2]
             for p in r["partners"]:
                 other = here.get(p)
                 if other is None or (bi != bj and other[1] == block) or classes.root(label) == classes.root(other[0]):
                     continue
-                if similarity(own, other[2]) >= SIMILARITY:
+                if similarity(own_shingles(mine), own_shingles(other)) >= SIMILARITY:
                     classes.join(label, other[0])
                     links.append((r["rep"], p))
         if links:
