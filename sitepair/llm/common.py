@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,7 +51,9 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
     def free_shuffles(self) -> None:
-        """Let the driver's JVM drop shuffles of finished jobs: their files stay until it collects garbage."""
+        """Let the driver drop shuffles of finished jobs that no variable names: their files stay until both
+        of its memories are collected."""
+        gc.collect()
         self.spark._jvm.System.gc()
 
 

@@ -167,8 +167,8 @@ def _resolve(buckets: int):
     return run
 
 
-def _merge_runs(key, table):
-    rows = table.to_pylist()
+def _merge_runs(key, left, right):
+    rows = [*left.to_pylist(), *right.to_pylist()]
     fp = np.concatenate([unpack(r["fp"], np.uint64, True) for r in rows])
     chk = np.concatenate([unpack(r["chk"], np.uint32) for r in rows])
     order = np.lexsort((chk, fp))
@@ -210,9 +210,10 @@ class FingerprintIndex:
         if not remember:
             return scratch.write(found.where(f"kind = {ANSWER}").select("doc", "fp"), "answers")
         table = self._save(found)
-        self.runs.append((0, table))
-        answers = scratch.write(self.spark.table(table).where(f"kind = {ANSWER}").select("doc", "fp"), "answers")
+        del rows, claims, history, found
         scratch.free_shuffles()
+        answers = scratch.write(self.spark.table(table).where(f"kind = {ANSWER}").select("doc", "fp"), "answers")
+        self.runs.append((0, table))
         self.compact()
         return answers
 
@@ -222,13 +223,14 @@ class FingerprintIndex:
         while any(at >= level for at, _ in self.runs):
             full = [t for at, t in self.runs if at == level]
             if len(full) >= self.fanout:
-                runs = self._run(full[0])
-                for t in full[1:]:
-                    runs = runs.unionByName(self._run(t))
-                merged = self._save(runs.groupBy("bucket").applyInArrow(_merge_runs, _ROW))
+                merged = full[0]
+                for table in full[1:]:  # two runs at a time, bucket by bucket: no shuffle
+                    both = self._run(merged).groupBy("bucket").cogroup(self._run(table).groupBy("bucket"))
+                    new = self._save(both.applyInArrow(_merge_runs, _ROW))
+                    self._forget(merged)
+                    self._forget(table)
+                    merged = new
                 self.runs = [(at, t) for at, t in self.runs if at != level] + [(level + 1, merged)]
-                for t in full:
-                    self._forget(t)
             level += 1
 
     def _forget(self, table: str) -> None:
