@@ -58,7 +58,8 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
         masks = F.explode(F.expr(f"transform(split('{','.join(map(str, flips(radius)))}', ','), x -> cast(x as int))"))
         probes = open_.select("query", F.posexplode("query").alias("segment", "own")).select("query", "segment", "own", masks.alias("mask"))
         probes = probes.select("query", "segment", F.expr("own ^ mask").alias("value"))
-        hits = probes.join(index.hint("merge"), ["segment", "value"])  # probes are many more than Spark reckons: never broadcast.select("query", "code", "n").distinct().withColumn("distance", distance)
+        # Probes are many more than Spark reckons: never broadcast.
+        hits = probes.join(index.hint("merge"), ["segment", "value"]).select("query", "code", "n").distinct().withColumn("distance", distance)
         hits = hits if best is None else best.join(open_, "query", "left_semi").unionByName(hits).distinct()
         # Codes that can't be among the k nearest are dropped: k codes have k ids at least.
         nearest = F.rank().over(W.partitionBy("query").orderBy("distance"))
