@@ -17,13 +17,13 @@ STOP_WORDS = (
     "der", "die", "das", "und", "ist", "nicht", "von", "ein",
     "el", "los", "las", "del", "y", "en", "un", "por",
 )
-#: name, value (over the columns of ``metrics``), comparison that a kept text meets, bound.
+#: name, value (over the columns of ``metrics``), comparison that a kept text meets, bound; a null value meets it.
 THRESHOLDS = (
-    ("min_mean_word_chars", "word_chars / n_words", ">=", 2.0),
-    ("max_mean_word_chars", "word_chars / n_words", "<=", 20.0),
-    ("max_symbol_ratio", "n_symbols / n_words", "<=", 0.1),
-    ("max_dup_line_ratio", "n_dup_lines / n_lines", "<=", 0.5),
-    ("min_stop_word_ratio", "n_stop_words / n_words", ">=", 0.01),
+    ("min_mean_word_chars", "word_chars / nullif(n_words, 0)", ">=", 2.0),
+    ("max_mean_word_chars", "word_chars / nullif(n_words, 0)", "<=", 20.0),
+    ("max_symbol_ratio", "n_symbols / nullif(n_words, 0)", "<=", 0.1),
+    ("max_dup_line_ratio", "n_dup_lines / nullif(n_lines, 0)", "<=", 0.5),
+    ("min_stop_word_ratio", "n_stop_words / nullif(n_words, 0)", ">=", 0.01),
 )
 
 

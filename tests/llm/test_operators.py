@@ -248,9 +248,9 @@ def test_quality_rules(spark):
 
 def test_licenses(spark):
     body = "Copyright (c) 2020 Someone\n" + dict(licenses.KNOWN[3:4])["MIT"].upper().replace(", ", " ,\n")
-    rows = [(1, body), (2, "Words.\nReleased under the MIT Licence!\nmore\nlicensed under cc by-nc 4.0"), (3, "no"), *ODD]
+    rows = [(11, body), (12, "Words.\nReleased under the MIT Licence!\nmore\nlicensed under cc by-nc 4.0"), (13, "no"), *ODD]
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(docs(spark, rows)).collect()}
-    assert got[1][0] == "MIT" and got[2] == (None, "CC-BY-NC-4.0,MIT") and got[3] == (None, "")
+    assert got[11][0] == "MIT" and got[12] == (None, "CC-BY-NC-4.0,MIT") and got[13] == (None, "") == got[2]
     assert licenses.scan(docs(spark, rows).limit(0)).count() == 0
 
 
