@@ -54,6 +54,8 @@ def site(tmp_path_factory):
         (root / "raw" / path).write_text(text)
     (root / "media/en/news").mkdir(parents=True)
     (root / "media/en/news/i.jpg").write_bytes(b"not a picture")
+    (root / "media/files").mkdir()
+    (root / "media/files/a.pdf").write_bytes(b"not a document")
     return root
 
 
@@ -66,7 +68,7 @@ def test_extract_and_verify(spark, site):
     head = files.read_csv((site / "out/content_inventory.csv").read_text())[0]
     col = {k: i for i, k in enumerate(head)}
     assert inventory["events/summer"][col["suggested_pair"]] == "events/enCamp"
-    assert inventory["events/summer"][col["pair_evidence"]].startswith("hreflang=en;")
+    assert inventory["events/summer"][col["pair_evidence"]].startswith("hreflang=zh-Hant;")
     assert inventory["news/20260214"][col["pair_evidence"]] == "date=2026-02-14"
     assert inventory["index"][col["pair_status"]] == "paired" and inventory["/index"][col["pair_status"]] == "site_level"
     assert inventory["support/donate"][col["flags"]] == "needs_rebuild"
