@@ -14,9 +14,9 @@ their length. Repeated rows are encoded alike; an empty table gives an empty res
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -25,8 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the memos of a worker; they are emptied when full, which changes no result.
-MEMO = 600_000
+#: Entries of each memo of a task; a memo is emptied when full, which changes no result.
+MEMO = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -72,8 +72,7 @@ class _Memo(dict):
         self.make = make
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.make(piece)
-        out = self[piece] = out if isinstance(out, bytes) else np.array(out, "<u4").tobytes()
+        out = self[piece] = self.make(piece)
         return out
 
 
@@ -96,8 +95,8 @@ class Encoder:
                 self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.memo = _Memo(lambda piece: self.encode_piece(piece.encode()))
-        self.chunks = _Memo(lambda chunk: self._pieces(" " + chunk))
+        self.memo = _Memo(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes())
+        self.chunks = _Memo(self._chunk)
         ids = sorted(self.tokens)
         self.token_lengths = np.zeros(ids[-1] + 1, np.int64)
         self.token_lengths[ids] = [len(self.tokens[i]) for i in ids]
@@ -151,6 +150,11 @@ class Encoder:
     def _pieces(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.pieces.findall(text)))
 
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a space and ``chunk``; a chunk of one piece is held by its own memo alone."""
+        pieces = self.pieces.findall(" " + chunk)
+        return self.memo.make(pieces[0]) if len(pieces) == 1 else b"".join(map(self.memo.__getitem__, pieces))
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
@@ -179,12 +183,6 @@ def unreachable_tokens(ranks: dict[bytes, int]) -> frozenset[int]:
     return frozenset(i for token, i in ranks.items() if merge(token, ranks) != [i])
 
 
-@lru_cache(1)
-def _encoder(shared, pattern: str) -> Encoder:
-    """One encoder for each Python worker: its automaton and memos outlive a batch."""
-    return Encoder(*shared.value[:1], pattern, shared.value[1])
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id") -> DataFrame:
     """``doc_id, ids, decoded``: ids as little-endian unsigned 32-bit integers, and the bytes they decode to."""
     return _run(docs, ranks, pattern, id_column, "ids binary, decoded binary", lambda ids, data: (ids, data))
@@ -208,15 +206,20 @@ def _run(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str,
     types = [kinds[c.split()[1]] for c in columns.split(",")]
 
     def run(batches):
-        encoder = _encoder(shared, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = []
-                for text in part.column(1).to_pylist():
-                    ids = encoder.encode(text or "")
-                    made.append(row(ids, encoder.decode(ids)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True))], names=[id_column, *names])
+        ranks, unreachable = shared.value
+        encoder = Encoder(ranks, pattern, unreachable)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    made = []
+                    for text in part.column(1).to_pylist():
+                        ids = encoder.encode(text or "")
+                        made.append(row(ids, encoder.decode(ids)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True))], names=[id_column, *names])
+        finally:  # the worker lives on in other stages; the memos and the encoder hold each other
+            del encoder
+            gc.collect()
 
     kind = source.schema[0].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_column}` {kind}, {columns}")
