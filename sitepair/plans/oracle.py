@@ -173,6 +173,7 @@ SELECT slug FROM b UNION ALL SELECT probe FROM m WHERE hit AND (miss IS NULL OR
         "mirror_slugs": inv + "SELECT DISTINCT lang_prefix, split_part(string_split(rel_path, '/')[-1], '.', 1) AS slug FROM safe WHERE section = 's1'",
         "stale_outputs": _PAGES + "SELECT md_path FROM safe EXCEPT SELECT md_path FROM safe WHERE page_id % 5 <> 0",
         "csv_fields": f"SELECT value, CASE WHEN regexp_matches(value, '^[=+\\-@\\t\\r]') THEN '''' || value ELSE value END AS guarded FROM (SELECT CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '-' ELSE '' END || split_part(text, chr(10), 1) AS value FROM documents UNION SELECT * FROM (VALUES {_quoted(queries.SCALARS)}))",
+        "csv_texts": f"SELECT value, CASE WHEN regexp_matches(value, '^[=+\\-@\\t\\r]') THEN '''' || value ELSE value END AS guarded FROM (SELECT CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '-' ELSE '' END || text AS value FROM documents UNION SELECT * FROM (VALUES {_quoted(queries.SCALARS)}))",
         "yaml_quoting": f"SELECT value, lower(value) IN ({', '.join(repr(w) for w in YAML_WORDS)}) OR {' OR '.join(f"regexp_matches(value, '{p}')" for p in YAML_PATTERNS)} AS quoted, lower(translate(value, '-_ ', '')) AS folded FROM (SELECT * FROM (VALUES {_quoted(queries.SCALARS)}) v(value) UNION SELECT p_name FROM part UNION SELECT slug FROM ({_ORDER_SLUGS}))",
         "media_paths": rf"""WITH u AS (SELECT * FROM (VALUES {_quoted(queries.MEDIA_URLS)}) v(url)), r AS (SELECT url, regexp_replace(url_decode(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), '^/+', '') AS rel FROM u),
 s AS (SELECT url, CASE WHEN rel <> '' AND NOT list_has_any(string_split(replace(rel, '\', '/'), '/'), ['.', '..']) THEN rel END AS rel FROM r)

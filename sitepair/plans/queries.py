@@ -202,13 +202,22 @@ def stale_outputs(spark, sf_dir):
     return verify.stale(own, own.where("page_id % 5 <> 0"))
 
 
-def csv_fields(spark, sf_dir):
-    first = F.substring_index("text", "\n", 1)
-    rows = inputs.table(spark, sf_dir, "documents").select(F.concat(F.expr("case doc_id % 5 when 0 then '=' when 1 then '-' else '' end"), first).alias("value"))
+def _csv_values(spark, sf_dir, text):
+    rows = inputs.table(spark, sf_dir, "documents").select(F.concat(F.expr("case doc_id % 5 when 0 then '=' when 1 then '-' else '' end"), text).alias("value"))
     rows = rows.union(_values(spark, "value", SCALARS)).distinct()
     return rows.select("value", csv_guard(F.col("value")).alias("guarded"))
 
 
+def csv_fields(spark, sf_dir):
+    """Guards of the first line of each text, as fields of one line; ``csv_texts`` takes whole texts."""
+    return _csv_values(spark, sf_dir, F.substring_index("text", "\n", 1))
+
+
+def csv_texts(spark, sf_dir):
+    """Guards of whole texts, all lines."""
+    return _csv_values(spark, sf_dir, F.col("text"))
+
+
 def yaml_quoting(spark, sf_dir):
     rows = _values(spark, "value", SCALARS).union(inputs.table(spark, sf_dir, "part").select("p_name")).union(inputs.order_slugs(spark, sf_dir).select("slug")).distinct()
     return rows.select("value", yaml_needs_quoting(F.col("value")).alias("quoted"), normalize_slug(F.col("value")).alias("folded"))
@@ -234,7 +243,7 @@ def verify_report(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (content_inventory, content_inventory_two_locales, page_identity, page_routes, inventory_status_counts, single_locale_counts, path_safety, path_collisions, redirect_map, redirect_rules, page_titles, internal_links, broken_links, unlinked_pages, hreflang_map, hreflang_reject_counts, hreflang_alternates, slug_dates, pairs_by_date, pairs_by_slug, shared_media, media_manifest, title_similarity, pair_candidates, pair_suggestions, date_candidates, orphan_hits, fetch_plan, mirror_slugs, stale_outputs, csv_fields, yaml_quoting, media_paths, extract_pages, verify_report)
+    own = (content_inventory, content_inventory_two_locales, page_identity, page_routes, inventory_status_counts, single_locale_counts, path_safety, path_collisions, redirect_map, redirect_rules, page_titles, internal_links, broken_links, unlinked_pages, hreflang_map, hreflang_reject_counts, hreflang_alternates, slug_dates, pairs_by_date, pairs_by_slug, shared_media, media_manifest, title_similarity, pair_candidates, pair_suggestions, date_candidates, orphan_hits, fetch_plan, mirror_slugs, stale_outputs, csv_fields, csv_texts, yaml_quoting, media_paths, extract_pages, verify_report)
     return {f.__name__: f for f in own}
 
 

@@ -29,5 +29,11 @@ def test_same_rows(spark, name):
     assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), names)
 
 
+def test_csv_texts_are_whole(spark):
+    texts = {r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    values = {r.value for r in entry.queries()["csv_texts"](spark, SF).collect()}
+    assert any("\n" in t for t in texts) and all(t in values or "=" + t in values or "-" + t in values for t in texts if t is not None)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(oracle_sql()) <= set(entry.queries())
