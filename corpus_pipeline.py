@@ -6,8 +6,11 @@ Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitepair.llm import bpe, mixing, near_dedup, quality_rules, substring_dedup
 from sitepair.llm.common import Scratch, read
@@ -35,8 +38,19 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, counted and digested, and the digest of the decoded bytes."""
-    return bpe.encode_digests(docs, bpe.load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+    """Ids of each text, counted and digested, the digest of the decoded bytes, and ``position``: the row's place, from 0, in the mixture.
+
+    ``docs`` is the table that the mixture was written to: its order is that of its files and of the rows in them, which
+    Spark reads in an order of its own.
+    """
+    placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    part = F.regexp_extract("_file", r"part-(\d+)", 1).cast("long")
+    files = placed.groupBy("_file").agg(F.count("*").alias("n")).orderBy(part, "_file").collect()  # a row for each file
+    before = dict(zip((r[0] for r in files), accumulate((r[1] for r in files), initial=0)))
+    starts = F.broadcast(spark.createDataFrame(list(before.items()), "_file string, _start long"))
+    placed = placed.join(starts, "_file").select(F.struct("doc_id", (F.col("_start") + F.col("_at")).alias("position")).alias("_key"), "text")
+    coded = bpe.encode_digests(placed, bpe.load_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN, "_key")
+    return coded.select("_key.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "_key.position")
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("substrings", substrings), ("mixture", mixture), ("tokens", tokens)]

@@ -289,5 +289,26 @@ def test_pipeline(spark, tmp_path):
     assert out.count() == step.count() > 10
 
 
+def test_pipeline_positions(spark, tmp_path):
+    import corpus_pipeline
+
+    # Files of very different sizes: Spark reads the large ones first.
+    rows = [(i, "the of and " * (1 if i % 7 else 400), "en", f"src{i % 3}", 1) for i in range(400)] + [(None, "a", "en", None, 1), (7, "b", "en", "src1", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mixture(spark, df, "").write.parquet(str(tmp_path / "mixed"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "mixed").glob("part-*"))) > 2
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    want = [r.doc_id for r in mixing.mix(df).orderBy("position").collect()]
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == want
+    empty = tmp_path / "empty"
+    df.limit(0).write.parquet(str(empty))
+    assert corpus_pipeline.tokens(spark, spark.read.parquet(str(empty)), "").count() == 0
+
+
 def test_registered():
     assert set(queries.queries()) <= set(entry.queries()) and set(queries.oracle_sql()) <= set(entry.oracle_sql())
