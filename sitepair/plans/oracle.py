@@ -168,6 +168,13 @@ base AS (SELECT unnest([strftime(d, '%m%d%Y'), strftime(d, '%Y%m%d')]) AS slug F
 b AS (SELECT DISTINCT slug FROM base WHERE slug IN (SELECT slug FROM ok) AND slug NOT IN (SELECT strftime(o_orderdate, '%Y%m%d') FROM orders WHERE o_orderkey % 50 = 0)),
 t AS (SELECT b.slug, p, b.slug || l AS probe, b.slug || l IN (SELECT slug FROM ok) AS hit FROM b, (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D')) v(p, l)),
 m AS (SELECT *, min(CASE WHEN NOT hit THEN p END) OVER (PARTITION BY slug) AS miss FROM t)
+SELECT slug FROM b UNION ALL SELECT probe FROM m WHERE hit AND (miss IS NULL OR p < miss)""",
+        "orphan_hits_all_orders": """WITH r0 AS (SELECT strftime(o_orderdate, '%Y%m%d') || CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 3 THEN 'A' ELSE 'B' END AS slug, o_orderkey AS k, o_orderstatus AS s FROM orders),
+r AS (SELECT slug, min(k) AS k, min(s) AS s FROM r0 GROUP BY slug), ok AS (SELECT slug FROM r WHERE s <> 'O'),
+base AS (SELECT unnest([strftime(d, '%m%d%Y'), strftime(d, '%Y%m%d')]) AS slug FROM generate_series(DATE '1990-01-01', DATE '2000-12-31', INTERVAL 1 DAY) t(d)),
+b AS (SELECT DISTINCT slug FROM base WHERE slug IN (SELECT slug FROM ok) AND slug NOT IN (SELECT strftime(o_orderdate, '%Y%m%d') FROM orders WHERE o_orderkey % 50 = 0)),
+t AS (SELECT b.slug, p, b.slug || l AS probe, b.slug || l IN (SELECT slug FROM ok) AS hit FROM b, (VALUES (0, 'A'), (1, 'B'), (2, 'C'), (3, 'D')) v(p, l)),
+m AS (SELECT *, min(CASE WHEN NOT hit THEN p END) OVER (PARTITION BY slug) AS miss FROM t)
 SELECT slug FROM b UNION ALL SELECT probe FROM m WHERE hit AND (miss IS NULL OR p < miss)""",
         "fetch_plan": _PAGES + "SELECT lang_prefix, slug FROM (SELECT DISTINCT slug FROM safe), (VALUES ('en'), ('fr'), ('de'), ('es')) v(lang_prefix) EXCEPT SELECT lang_prefix, slug FROM safe",
         "mirror_slugs": inv + "SELECT DISTINCT lang_prefix, split_part(string_split(rel_path, '/')[-1], '.', 1) AS slug FROM safe WHERE section = 's1'",

@@ -171,20 +171,28 @@ def date_candidates(spark, sf_dir):
     return orphans.date_candidates(spark, 2024, 2025)
 
 
-def _responses(spark, sf_dir):
+def _responses(orders):
     """Synthetic: an order's date answers on the status of the order; every seventh needs a second attempt."""
-    rows = inputs.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
     slug = F.expr("concat(date_format(o_orderdate, 'yyyyMMdd'), case o_orderkey % 9 when 0 then '' when 3 then 'A' else 'B' end)")
-    rows = rows.groupBy(slug.alias("slug")).agg(F.min("o_orderkey").alias("k"), F.min("o_orderstatus").alias("s"))
+    rows = orders.groupBy(slug.alias("slug")).agg(F.min("o_orderkey").alias("k"), F.min("o_orderstatus").alias("s"))
     url = F.concat(F.lit("https://site.example/en/news/"), F.col("slug"), F.lit(".php"))
     status = F.expr("if(s = 'F', 200, if(s = 'O', 404, 200))")
     first = rows.select(url.alias("url"), F.lit(1).alias("attempt"), F.when(F.col("k") % 7 == 0, F.when(F.col("k") % 2 == 0, 409)).otherwise(status).alias("status"))
     return first.union(rows.where("k % 7 = 0").select(url, F.lit(2), status))
 
 
-def orphan_hits(spark, sf_dir):
+def _orphan_hits(spark, sf_dir, answering):
     known = inputs.table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.date_format("o_orderdate", "yyyyMMdd").alias("slug"))
-    return orphans.hits(orphans.date_candidates(spark, 1990, 2000), known, _responses(spark, sf_dir), "https://site.example/en/news/", ".php")
+    return orphans.hits(orphans.date_candidates(spark, 1990, 2000), known, _responses(answering), "https://site.example/en/news/", ".php")
+
+
+def orphan_hits(spark, sf_dir):
+    """Only the orders whose key is a multiple of 3 answer; in ``orphan_hits_all_orders`` all do."""
+    return _orphan_hits(spark, sf_dir, inputs.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"))
+
+
+def orphan_hits_all_orders(spark, sf_dir):
+    return _orphan_hits(spark, sf_dir, inputs.table(spark, sf_dir, "orders"))
 
 
 def fetch_plan(spark, sf_dir):
@@ -243,7 +251,7 @@ def verify_report(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (content_inventory, content_inventory_two_locales, page_identity, page_routes, inventory_status_counts, single_locale_counts, path_safety, path_collisions, redirect_map, redirect_rules, page_titles, internal_links, broken_links, unlinked_pages, hreflang_map, hreflang_reject_counts, hreflang_alternates, slug_dates, pairs_by_date, pairs_by_slug, shared_media, media_manifest, title_similarity, pair_candidates, pair_suggestions, date_candidates, orphan_hits, fetch_plan, mirror_slugs, stale_outputs, csv_fields, csv_texts, yaml_quoting, media_paths, extract_pages, verify_report)
+    own = (content_inventory, content_inventory_two_locales, page_identity, page_routes, inventory_status_counts, single_locale_counts, path_safety, path_collisions, redirect_map, redirect_rules, page_titles, internal_links, broken_links, unlinked_pages, hreflang_map, hreflang_reject_counts, hreflang_alternates, slug_dates, pairs_by_date, pairs_by_slug, shared_media, media_manifest, title_similarity, pair_candidates, pair_suggestions, date_candidates, orphan_hits, orphan_hits_all_orders, fetch_plan, mirror_slugs, stale_outputs, csv_fields, csv_texts, yaml_quoting, media_paths, extract_pages, verify_report)
     return {f.__name__: f for f in own}
 
 
