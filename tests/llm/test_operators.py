@@ -310,5 +310,72 @@ def test_pipeline_positions(spark, tmp_path):
     assert corpus_pipeline.tokens(spark, spark.read.parquet(str(empty)), "").count() == 0
 
 
+def brute_kept(text):
+    w = text.encode().split()
+    lines = [x for x in text.split("\n") if x.encode().split()]
+    n, chars, symbols, dup, covered = brute_rules(text)
+    if n < 20 or 100 * covered > 30 * n:
+        return False
+    stop = sum(x.decode().lower() in quality_rules.STOP_WORDS for x in w)
+    return 2 <= chars / n <= 20 and symbols / n <= 0.1 and dup / len(lines) <= 0.5 and stop / n >= 0.01
+
+
+def brute_clean(texts):
+    owner, out = {}, []
+    for i, t in texts:
+        w = t.encode().split()
+        for j in range(len(w) - 12 if i is not None else 0):
+            k = tuple(w[j : j + 13])
+            owner[k] = min(owner.get(k, i), i)
+    for i, t in texts:
+        w = t.encode().split()
+        gone = {j + d for j in range(len(w) - 12 if i is not None else 0) if owner[tuple(w[j : j + 13])] < i for d in range(13)}
+        out.append((i, b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else t))
+    return out
+
+
+def brute_mixed(rows, hashes):
+    """Rows as (id, text) by EDF: blocks of 16 of each source in hashed order, a new phase where a source ends."""
+    blocks = {}
+    for source in sorted({f"src{(i or 0) % 3}" for i, _ in rows}):
+        own = sorted((r for r in rows if f"src{(r[0] or 0) % 3}" == source), key=lambda r: hashes[r[0]])
+        blocks[source] = [own[a : a + mixing.BLOCK_DOCS] for a in range(0, len(own), mixing.BLOCK_DOCS)]
+    out = []
+    while live := {k: q for k, q in mixing.TARGETS.items() if blocks.get(k)}:
+        turn = {t: k for k, slots in mixing.period(live).items() for t in slots}
+        t = 0
+        while True:
+            k = turn[t % len(turn)]
+            out += blocks[k].pop(0)
+            t += 1
+            if not blocks[k]:
+                break
+    return out
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [(i, (t or "") + " the of and") for i, t in corpus() if i is not None and i >= 10]
+    texts += [(i, prose(rng, 50) + "\n the of and") for i in range(300, 400)] + [(None, prose(rng, 40) + " the of and")]
+    texts += [(200, "the end of it " * 30), (201, prose(rng, 40)), (202, "the cat"), (203, texts[40][1] + " " + texts[60][1])]
+    docs(spark, texts).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = [x for x in texts if brute_kept(x[1])]
+    classes = brute_classes(kept)
+    single = [x for x in kept if x[0] is None or classes[x[0]] == x[0]]
+    cleaned = brute_clean(single)
+    assert len(texts) > len(kept) > len(single) and cleaned != single
+    ids = spark.createDataFrame([(i,) for i, _ in cleaned], "doc_id long")
+    hashes = {r[0]: r[1] for r in ids.selectExpr("doc_id", "xxhash64(doc_id, 7)").collect()}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    want = []
+    for at, (i, t) in enumerate(brute_mixed(cleaned, hashes)):
+        e = own.encode_ordinary(t)
+        want.append((i, len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), at))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[-1]) == want
+
+
 def test_registered():
     assert set(queries.queries()) <= set(entry.queries()) and set(queries.oracle_sql()) <= set(entry.oracle_sql())
