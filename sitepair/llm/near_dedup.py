@@ -8,8 +8,8 @@ buckets of candidates, and every link is verified by the exact similarity of the
 
 Equal texts are one node. A bucket first ties each member to its least one. Buckets whose members are
 then still in several classes are compared in blocks: pairs of different classes whose signatures agree
-enough (a true link fails that with a chance below 1e-6) are verified too, so that no link between
-different texts is lost to the size of a bucket. Classes are the connected components of the links.
+enough (a true link fails that with a chance below 1e-6) are verified too, so that the size of a bucket
+loses no other link between different texts. Classes are the connected components of the links.
 
 Null texts are alone. Texts without words, among them the empty text, match equal texts only; texts of
 fewer than five words have one shingle of all their words. Rows with a null id have a null class. Rows with one id are one
@@ -33,8 +33,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 4, 24
 REGISTERS = ROWS * BANDS
-#: A link has 58 or more of 96 registers in common, but for a chance of 1e-6.
-AGREE = 58
+#: A link has 56 or more of 96 registers in common, but for a chance of 3.6e-7.
+AGREE = 56
 BLOCK = 2048
 _U = np.uint64
 

@@ -1,6 +1,7 @@
 """Training-data operators against brute force, on small fixtures and odd inputs."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -164,6 +165,11 @@ def test_signatures_estimate_similarity():
     assert abs(agree - near_dedup.similarity(x, y)) < 0.03
 
 
+def test_links_agree_but_for_the_stated_chance():
+    p, n = near_dedup.SIMILARITY, near_dedup.REGISTERS
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.AGREE)) < 1e-6
+
+
 def brute_substrings(texts):
     owner = {}
     split = [(i, (t or "").encode().split()) for i, t in texts]
