@@ -17,14 +17,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder is set only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a local session (as in tests) gets a temporary
+    folder; on a cluster that is an error, as executors don't share one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sitepair-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Written tables that cut lineage: Parquet in the shared folder, so a lost executor loses nothing."""
 
@@ -32,23 +40,31 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/sitepair-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._paths: set[str] = set()
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self._paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def delete(self, *frames: DataFrame) -> None:
         """Drop tables that nothing will read again."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            delete_path(self.spark, df._scratch_path)
+            self._paths.discard(df._scratch_path)
+
+    def close(self, *kept: DataFrame) -> None:
+        """Drop every table but ``kept``, which a result still reads."""
+        keep = {df._scratch_path for df in kept}
+        for path in self._paths - keep:
+            delete_path(self.spark, path)
+        self._paths = keep
+        if not keep:
+            delete_path(self.spark, self.root)
 
     def free_shuffles(self) -> None:
         """Let the driver drop shuffles of finished jobs that no variable names: their files stay until both

@@ -19,7 +19,6 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> Dat
     """
     node = edges.schema["u"].dataType
     e = scratch.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    spark = scratch.spark
     if e.isEmpty():
         return e.select(F.col("u").cast(node).alias("node"), F.col("v").cast(node).alias("label"))
     before = None
@@ -38,6 +37,7 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> Dat
         before = now
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    del spark
     star = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return scratch.write(star.union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "components")
+    out = scratch.write(star.union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "components")
+    scratch.delete(e)
+    return out

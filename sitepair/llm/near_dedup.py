@@ -6,20 +6,21 @@ arrives first, and a process stops once it is later than every register. Two sig
 register with a probability that is the texts' probability Jaccard similarity. Bands of registers give
 buckets of candidates, and every link is verified by the exact similarity of the texts, 0.8 or more.
 
-Equal texts are one node. A bucket first ties each member to its least one. Buckets whose members are
-then still in several classes are compared in blocks: pairs of different classes whose signatures agree
-enough (a true link fails that with a chance below 1e-6) are verified too, so that the size of a bucket
-loses no other link between different texts. Classes are the connected components of the links.
-
-Null texts are alone. Texts without words, among them the empty text, match equal texts only; texts of
-fewer than five words have one shingle of all their words. Rows with a null id have a null class. Rows with one id are one
-document. An empty table gives an empty result.
+A node is a text, whatever ids its rows have. A bucket first ties each member to its least one. Buckets
+whose members are then still in several classes are compared in full, in blocks: all pairs of different
+classes whose signatures agree in ``AGREE`` registers are verified too (a true link fails that with a
+chance of 3.6e-7, beside 3.2e-6 of meeting in no band), so that the size of a bucket loses no other link
+between different texts. Classes are the connected components of the links.
+
+A class has the least doc_id of its rows as ``class_id``, and its least text digest as ``class_key``,
+which tells classes apart even where one id has several texts. Null texts are alone, with their own id and
+no key. Texts without words, among them the empty text, match equal texts only; texts of fewer than five
+words have one shingle of all their words. Rows with a null id have a null class and tie nothing. Repeated
+rows are classed alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +36,8 @@ ROWS, BANDS = 4, 24
 REGISTERS = ROWS * BANDS
 #: A link has 56 or more of 96 registers in common, but for a chance of 3.6e-7.
 AGREE = 56
-BLOCK = 2048
+#: Signatures of a block of a bucket, and texts of a block of a group of candidates.
+BLOCK, TEXT_BLOCK = 2048, 192
 _U = np.uint64
 
 
@@ -107,22 +109,28 @@ def bands(sig: bytes) -> list[int]:
     return ((tx.mix(key + band * tx._G) & ~_U(31)) | band).view(np.int64).tolist()
 
 
+def key_of(text):
+    """16 bytes of the text's SHA-256, null for a null text: equal texts are one node."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def _sketch(batches):
+    """The signature of each ``doc_id, tk, text``; equal texts of a batch are worked once."""
     for batch in batches:
-        known: dict[bytes, tuple] = {}
+        known: dict[bytes, bytes | None] = {}
         rows = []
-        for value in batch.column(1).cast(pa.binary()):
-            if not value.is_valid:
-                rows.append((None, None, None))
-                continue
-            data = value.as_py()
-            key = hashlib.blake2b(data, digest_size=16).digest()
-            if key not in known:
-                sig = signature(data)
-                known[key] = (key, sig, bands(sig) if sig else None)
-            rows.append(known[key])
-        kinds = (pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", "tk", "sig", "bands"])
+        for key, value in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            if key is not None and key not in known:
+                known[key] = signature(value.as_py())
+            rows.append(known.get(key))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "tk", "sig"])
+
+
+def _band_keys(batches):
+    """A row ``rep, key`` for each band of ``rep, sig``."""
+    for batch in batches:
+        keys = [k for sig in batch.column(1).to_pylist() for k in bands(sig)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys, pa.int64())], names=["rep", "key"])
 
 
 def _verify(batches):
@@ -159,7 +167,7 @@ class _Union:
 def _candidates(batches):
     """Of members of a bucket, sorted by (key, bi, bj): pairs of different classes that may be links.
 
-    Row: a document and its partners (kind 0), or a document and one that it hangs together with (kind 1).
+    Row: a text and its partners (kind 0), or a text and one that it hangs together with (kind 1).
     A pair comes from the first band that it shares, and not if one of it is the bucket's least member.
     """
     for table in groups(batches, 3):
@@ -175,13 +183,12 @@ def _candidates(batches):
             if rep[i] == low:
                 continue
             same = sig[i + 1 :] == sig[i]
-            ok = (same.sum(1) >= AGREE) & (label[i + 1 :] != label[i])
+            ok = (same.sum(1) >= AGREE) & (label[i + 1 :] != label[i]) & (rep[i + 1 :] != low)
             ok &= (block[i + 1 :] != block[i]) if bi != bj else True
             at = np.flatnonzero(ok)
             if at.size:
                 shared = same[at].reshape(len(at), BANDS, ROWS).all(2)
-                at = at[shared.argmax(1) == (key & 31)]
-                partners = [int(p) for p in rep[i + 1 :][at] if p != low]
+                partners = rep[i + 1 :][at[shared.argmax(1) == (key & 31)]].tolist()
                 if partners:
                     out.append((0, int(rep[i]), partners))
                     out += [(1, p, [int(rep[i])]) for p in partners if hang.join(p, int(rep[i]))]
@@ -190,97 +197,139 @@ def _candidates(batches):
 
 
 def _verify_blocks(batches):
-    """Of a block pair, sorted by (sg, bi, bj): texts and partner lists; the links that join classes."""
+    """Of a pair of blocks, sorted by (sg, bi, bj): texts and partner lists; the links that join classes."""
     for table in groups(batches, 3):
         rows = table.to_pylist()
-        bi, bj = rows[0]["bi"], rows[0]["bj"]
-        here = {r["rep"]: [r["label"], r["blk"], r["text"], None] for r in rows if r["text"] is not None}
+        here = {r["rep"]: [r["label"], r["text"], None] for r in rows if r["partners"] is None}
 
         def own_shingles(entry):
-            if entry[3] is None:
-                entry[2:] = None, shingles(entry[2].encode())
-            return entry[3]
+            if entry[2] is None:
+                entry[1:] = None, shingles(entry[1].encode())
+            return entry[2]
 
         classes, links = _Union(), []
         for r in rows:
-            if r["partners"] is None or r["rep"] not in here:
+            if r["partners"] is None:
                 continue
             mine = here[r["rep"]]
-            label, block = mine[:2]
             for p in r["partners"]:
-                other = here.get(p)
-                if other is None or (bi != bj and other[1] == block) or classes.root(label) == classes.root(other[0]):
-                    continue
-                if similarity(own_shingles(mine), own_shingles(other)) >= SIMILARITY:
-                    classes.join(label, other[0])
+                other = here[p]
+                if classes.root(mine[0]) != classes.root(other[0]) and similarity(own_shingles(mine), own_shingles(other)) >= SIMILARITY:
+                    classes.join(mine[0], other[0])
                     links.append((r["rep"], p))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["u", "v"])
 
 
-def _block_pairs(rows: DataFrame, count: str) -> DataFrame:
-    """Rows with ``blk`` and the columns ``bi, bj`` of each pair of blocks that they take part in."""
-    n = F.ceil(F.col(count) / BLOCK).cast("int")
-    rows = rows.withColumn("_nb", n).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(23)), F.col("_nb")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return rows.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).drop("_o", "_nb")
+def _block(rep: str, blocks: str):
+    return F.pmod(F.xxhash64(rep, F.lit(23)), F.col(blocks)).cast("int")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, class_size`` for each row of ``docs(doc_id, text)``; the class id is its least doc_id."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketched = scratch.write(base.mapInArrow(_sketch, "doc_id long, tk binary, sig binary, bands array<long>"), "sketches")
+def _split_buckets(members: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Members of the buckets that hold several classes, dealt to pairs of blocks; None if there is no such bucket."""
+    labelled = members.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = scratch.write(labelled.select("key", "rep", F.coalesce("label", "rep").alias("label"), "low", "n"), "labelled")
+    split = scratch.write(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key"), "split")
+    if split.isEmpty():
+        return None
+    rows = labelled.join(split, "key").join(nodes.select("rep", "sig"), "rep")
+    rows = rows.withColumn("_nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", _block("rep", "_nb"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    rows = rows.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).select("key", "bi", "bj", "rep", "label", "blk", "low", "sig")
+    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links among ``pairs(a, b)``."""
+    s, t = (texts.select(F.col("rep").alias(k), F.col("text").alias(c)) for k, c in (("a", "s"), ("b", "t")))
+    return pairs.join(s, "a").join(t, "b").select("a", "b", "s", "t").mapInArrow(_verify, "u long, v long")
+
+
+def _compare_all(rows: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links among all pairs of different classes that ``rows`` of split buckets hold."""
+    found = scratch.write(rows.mapInArrow(_candidates, "kind int, a long, partners array<long>"), "candidates")
+    hang = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("partners")[0].alias("v")), scratch)
+    sizes = scratch.write(hang.groupBy("label").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("_nb")), "sizes")
+    placed = hang.join(sizes, "label").select(F.col("node").alias("rep"), F.col("label").alias("sg"), _block("node", "_nb").alias("blk"))
+    placed = scratch.write(placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sg", "blk", F.coalesce("label", "rep").alias("label")), "placed")
+    # A list goes to the pairs of blocks that its partners are in, and a text to those that name it: no task gets a whole group.
+    pairs = found.where("kind = 0").select(F.col("a").alias("rep"), F.explode("partners").alias("p")).join(placed.drop("label"), "rep")
+    pairs = pairs.join(placed.select(F.col("rep").alias("p"), F.col("blk").alias("_q")), "p")
+    tile = ["sg", "bi", "bj"]
+    pairs = pairs.select("sg", F.least("blk", "_q").alias("bi"), F.greatest("blk", "_q").alias("bj"), "rep", "p")
+    lists = scratch.write(pairs.groupBy(*tile, "rep").agg(F.collect_list("p").alias("partners")), "lists")
+    named = lists.select(*tile, "rep").union(lists.select(*tile, F.explode("partners"))).distinct()
+    held = named.join(placed.select("rep", "label"), "rep").join(texts, "rep").select(*tile, "rep", "label", "text", F.lit(None).cast("array<long>").alias("partners"))
+    asked = lists.select(*tile, "rep", F.lit(None).cast("long").alias("label"), F.lit(None).cast("string").alias("text"), "partners")
+    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    return held.unionByName(asked).repartition(n, *tile).sortWithinPartitions(*tile).mapInArrow(_verify_blocks, "u long, v long")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", key_of(F.col("text")).alias("tk"), "text")
+
+
+def _assign(docs: DataFrame) -> DataFrame:
+    """``doc_id, tk, class_id, class_key`` for each row of ``docs``; class columns are null without an id or a text."""
+    scratch = Scratch(docs.sparkSession)
+    base = _keyed(docs)
+    sketched = scratch.write(base.mapInArrow(_sketch, "doc_id long, tk binary, sig binary"), "sketches")
     named = sketched.where("doc_id is not null and tk is not null")
-    nodes = scratch.write(named.groupBy("tk").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
-    keys = nodes.where("bands is not null").select("rep", F.explode("bands").alias("key"))
+    nodes = named.groupBy("tk").agg(F.min("doc_id").alias("low_id"), F.first("sig").alias("sig"))
+    nodes = scratch.write(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")  # numbered once: the table is written
+    keys = scratch.write(nodes.where("sig is not null").select("rep", "sig").mapInArrow(_band_keys, "rep long, key long"), "keys")
     buckets = scratch.write(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high").drop("high"), "buckets")
     members = scratch.write(keys.join(buckets, "key"), "members")
+    scratch.delete(keys, buckets)
     scratch.free_shuffles()
-    wanted = scratch.write(members.select("rep").distinct(), "wanted")
-    texts = base.join(wanted, base["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"])
-    texts = scratch.write(texts.select(F.col("doc_id").alias("rep"), "text"), "texts")
+    wanted = scratch.write(members.select("rep").distinct().join(nodes.select("rep", "tk", F.col("low_id").alias("doc_id")), "rep"), "wanted")
+    # One row of each text: the one of its least id; the id keeps a text of many copies from being a hot key.
+    texts = base.join(wanted, ["doc_id", "tk"]).dropDuplicates(["rep"]).select("rep", "text")
+    texts = scratch.write(texts, "texts")
     scratch.free_shuffles()
 
     pairs = scratch.write(members.where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    first = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("t")), "b")
-    links = scratch.write(first.select("a", "b", "s", "t").mapInArrow(_verify, "u long, v long"), "links")
+    links = scratch.write(_verified(pairs, texts), "links")
     scratch.free_shuffles()
     labels = components(links, scratch)
-
-    # Buckets that still hold several classes, and more than the pair that was verified.
-    label = F.coalesce("label", "rep").alias("label")
-    labelled = scratch.write(members.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", label, "low", "n"), "labelled")
-    split = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    split = scratch.write(split, "split")
-    if not split.isEmpty():
-        rows = _block_pairs(labelled.join(split, "key"), "n").join(nodes.select("rep", "sig"), "rep")
-        rows = rows.select("key", "bi", "bj", "rep", "label", "blk", "low", "sig").repartition(n, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-        found = scratch.write(rows.mapInArrow(_candidates, "kind int, a long, partners array<long>"), "candidates")
-        hang = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("partners")[0].alias("v")), scratch)
-        sizes = scratch.write(hang.groupBy("label").agg(F.count("*").alias("n")), "sizes")
-        placed = hang.join(sizes, "label").select(F.col("node").alias("rep"), F.col("label").alias("sg"), "n")
-        placed = scratch.write(_block_pairs(placed, "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sg", "bi", "bj", "rep", label, "blk"), "placed")
-        lists = found.where("kind = 0").select(F.col("a").alias("rep"), "partners")
-        rows = placed.join(texts, "rep").select("sg", "bi", "bj", "rep", "label", "blk", "text", F.lit(None).cast("array<long>").alias("partners"))
-        rows = rows.unionByName(placed.join(lists, "rep").select("sg", "bi", "bj", "rep", "label", "blk", F.lit(None).cast("string").alias("text"), "partners"))
-        rows = rows.repartition(n, "sg", "bi", "bj").sortWithinPartitions("sg", "bi", "bj")
-        more = scratch.write(rows.mapInArrow(_verify_blocks, "u long, v long"), "more-links")
+    rows = _split_buckets(members, nodes, labels, scratch)
+    if rows is not None:
+        more = scratch.write(_compare_all(rows, labels, texts, scratch), "more-links")
         labels = components(links.unionByName(more), scratch)
-    final = scratch.write(nodes.select("tk", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("tk", label), "final")
+    placed = nodes.select("tk", "rep", "low_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = scratch.write(placed.select("tk", "low_id", F.coalesce("label", "rep").alias("label")), "placed-nodes")
+    named = placed.groupBy("label").agg(F.min("low_id").alias("class_id"), F.min("tk").alias("class_key"))
+    final = scratch.write(placed.join(named, "label").select("tk", "class_id", "class_key"), "final")
     out = sketched.select("doc_id", "tk").join(final, "tk", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    out = scratch.write(out.select("doc_id", own.alias("class_id")), "classes")
-    sizes = out.where("class_id is not null").groupBy("class_id").agg(F.countDistinct("doc_id").alias("class_size"))
-    return out.join(scratch.write(sizes, "class-sizes"), "class_id", "left").select("doc_id", "class_id", "class_size")
+    known = F.col("doc_id").isNotNull()
+    out = scratch.write(out.select("doc_id", "tk", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("class_key")).alias("class_key")), "classes")
+    scratch.close(out)
+    return out
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, class_size, class_key`` for each row of ``docs(doc_id, text)``; the size counts distinct ids."""
+    rows = _assign(docs)
+    sizes = rows.where("class_key is not null").groupBy("class_key").agg(F.countDistinct("doc_id").alias("class_size"))
+    alone = F.when(F.col("doc_id").isNotNull(), F.lit(1).cast("long"))
+    out = rows.join(Scratch(docs.sparkSession).write(sizes, "class-sizes"), "class_key", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", alone).alias("class_size"), F.lower(F.hex("class_key")).alias("class_key"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, that of the least id; rows with null ids or texts stay."""
-    found = classes(docs)
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    """``docs`` with one row of each class: that of the least id, then of the least text digest; of rows equal in
+    both, any one. Rows with null ids or texts stay."""
+    scratch = Scratch(docs.sparkSession)
+    rows = _assign(docs).where("class_key is not null")
+    stay = scratch.write(rows.groupBy("class_key").agg(F.min(F.struct("doc_id", "tk")).alias("_k")).select("_k.*"), "survivors")
+    each = scratch.write(rows.groupBy("doc_id", "tk").agg(F.count("*").alias("n")), "rows")
+    gone = scratch.write(each.join(stay, ["doc_id", "tk"], "left_anti").select("doc_id", "tk"), "gone")
+    twice = scratch.write(each.where("n > 1").join(stay, ["doc_id", "tk"], "left_semi").select("doc_id", "tk"), "twice")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), key_of(F.col("text").cast("string")).alias("tk"))
+    scratch.close(gone, twice)
+    left = packed.join(gone, ["doc_id", "tk"], "left_anti")
+    once = left.join(twice, ["doc_id", "tk"], "left_anti").select("_row.*")
+    if twice.isEmpty():
+        return left.select("_row.*")
+    return once.union(left.join(twice, ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"]).select("_row.*"))
