@@ -1,9 +1,15 @@
 """Operator 7, exact top-k search over binary codes by incremental multi-index hashing.
 
-The signs of a vector's components are its code, cut into segments of 16 bits. An index row stands for
-each segment of each distinct code. A query looks up, segment by segment, all values within a radius of
-its own; after radius r every code within Hamming distance ``segments * (r + 1) - 1`` has been met. The
-radius grows until the k-th verified distance is within that bound.
+The signs of a vector's components are its code, as long as the longest vector, cut into segments of
+about log2 of the number of codes: then a segment's value has a handful of codes whatever the size of the
+table. An index row stands for each segment of each distinct code. A query looks up, segment by segment,
+all values within a radius of its own, one more bit a round; after radius r every code within Hamming
+distance ``segments * (r + 1) - 1`` has been met. The radius grows until the k-th verified distance is
+within that bound.
+
+A code is met in the round of its least segment distance, in the first such segment, and nowhere else, so
+that nothing is met twice and the rounds need no distinct. A segment value of more than ``HOT`` codes is
+salted: its codes are dealt to several keys, and its probes copied to them.
 
 Equal codes are one index entry with their k least ids, so a very common vector is no hot key. A null
 vector has no code and neither asks nor is found; a missing, null or NaN component is a zero bit. Ties are broken
@@ -13,56 +19,75 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BITS = 64
-SEGMENT = 16
 K = 10
+#: Bits of a segment, whatever the number of codes.
+LEAST, MOST = 8, 30
+HOT = 4096
+
+
+def code(vector: str, bits: int, width: int) -> F.col:
+    """Segments of ``width`` sign bits, as array<int>; null for a null vector."""
+    bit = f"get({vector}, s * {width} + j)"
+    one = f"aggregate(sequence(0, {width - 1}), 0, (a, j) -> a + if(coalesce({bit} > 0 and not isnan({bit}), false), shiftleft(1, j), 0))"
+    return F.expr(f"if({vector} is null, null, transform(sequence(0, {-(-bits // width) - 1}), s -> {one}))")
 
 
-def code(vector: str, bits: int = BITS) -> F.col:
-    """Segments of SEGMENT sign bits, as array<int>; null for a null vector."""
-    one = f"aggregate(sequence(0, {SEGMENT - 1}), 0, (a, j) -> a + if(coalesce(get({vector}, s * {SEGMENT} + j) > 0 and not isnan(get({vector}, s * {SEGMENT} + j)), false), shiftleft(1, j), 0))"
-    return F.expr(f"if({vector} is null, null, transform(sequence(0, {bits // SEGMENT - 1}), s -> {one}))")
+def layout(base: DataFrame, queries: DataFrame) -> tuple[int, int]:
+    """Bits of the longest vector, and bits of a segment: log2 of the number of vectors, rounded up."""
+    size = F.max(F.size(F.coalesce("embedding", F.array().cast(base.schema["embedding"].dataType))))
+    n, longest = base.agg(F.count("embedding"), size).first()
+    asked = queries.agg(size).first()[0]
+    bits = max(1, longest or 0, asked or 0)
+    return bits, min(bits, MOST, max(LEAST, (max(n, 2) - 1).bit_length()))
 
 
-def flips(radius: int) -> list[int]:
-    """Masks of exactly ``radius`` bits of a segment."""
-    return [sum(1 << b for b in bits) for bits in combinations(range(SEGMENT), radius)]
+def probes(open_: DataFrame, radius: int, width: int) -> DataFrame:
+    """``query, segment, value``: every value that differs from the query's own in exactly ``radius`` bits."""
+    out = open_.select("query", F.posexplode("query").alias("segment", "value")).withColumn("bit", F.lit(-1))
+    for _ in range(radius):  # the bits that differ, in ascending order
+        more = F.explode(F.when(F.col("bit") < width - 1, F.sequence(F.col("bit") + 1, F.lit(width - 1)))).alias("next")
+        out = out.select("query", "segment", "value", more).select("query", "segment", F.expr("value ^ shiftleft(1, next)").alias("value"), F.col("next").alias("bit"))
+    return out.drop("bit")
 
 
-def search(base: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, k: int = K, hot: int = HOT) -> DataFrame:
     """``query_id, rank, vec_id, distance``: the k rows of ``base(vec_id, embedding)`` nearest to each of
     ``queries(query_id, embedding)``, by Hamming distance and then id; a query that is in ``base`` finds itself."""
-    spark = base.sparkSession
-    scratch = Scratch(spark)
-    n_segments = bits // SEGMENT
-    ids = base.select("vec_id", code("embedding", bits).alias("code")).where("code is not null")
+    scratch = Scratch(base.sparkSession)
+    bits, width = layout(base, queries)
+    n_segments = -(-bits // width)
+    ids = base.select("vec_id", code("embedding", bits, width).alias("code")).where("code is not null")
     # The limit on the row number is applied before the shuffle too: k rows for each code and task.
     order = W.partitionBy("code").orderBy(F.col("vec_id").asc_nulls_last())
     members = scratch.write(ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n"), "members")
-    codes = scratch.write(members.groupBy("code").agg(F.count("*").alias("n")), "codes")
-    index = scratch.write(codes.select("code", "n", F.posexplode("code").alias("segment", "value")), "index")
-    asked = scratch.write(queries.select("query_id", code("embedding", bits).alias("query")).where("query is not null"), "asked")
+    codes = scratch.write(members.groupBy("code").agg(F.count("*").alias("n"), F.min("vec_id").alias("low")), "codes")
+    index = codes.select("code", "n", "low", F.posexplode("code").alias("segment", "value"))
+    salts = F.ceil(F.col("c") / hot).cast("int").alias("salts")
+    common = scratch.write(index.groupBy("segment", "value").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("segment", "value", salts), "common")
+    index = index.join(common, ["segment", "value"], "left")
+    index = scratch.write(index.select("segment", "value", F.coalesce(F.pmod(F.xxhash64("code"), F.col("salts")).cast("int"), F.lit(0)).alias("salt"), "code", "n", "low"), "index")
+    asked = scratch.write(queries.select("query_id", code("embedding", bits, width).alias("query")).where("query is not null"), "asked")
     total = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     open_ = scratch.write(asked.select("query").distinct(), "open")
-    distance = F.expr("aggregate(zip_with(query, code, (a, b) -> cast(bit_count(a ^ b) as int)), 0, (a, x) -> a + x)")
+    apart = F.expr("zip_with(query, code, (a, b) -> cast(bit_count(a ^ b) as int))")
     best, met = None, []
-    for radius in range(SEGMENT + 1):
-        masks = F.explode(F.expr(f"transform(split('{','.join(map(str, flips(radius)))}', ','), x -> cast(x as int))"))
-        probes = open_.select("query", F.posexplode("query").alias("segment", "own")).select("query", "segment", "own", masks.alias("mask"))
-        probes = probes.select("query", "segment", F.expr("own ^ mask").alias("value"))
+    for radius in range(width + 1):
+        spread = probes(open_, radius, width).join(common, ["segment", "value"], "left")
+        spread = spread.select("query", "segment", "value", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
         # Probes are many more than Spark reckons: never broadcast.
-        hits = probes.join(index.hint("merge"), ["segment", "value"]).select("query", "code", "n").distinct().withColumn("distance", distance)
-        hits = hits if best is None else best.join(open_, "query", "left_semi").unionByName(hits).distinct()
-        # Codes that can't be among the k nearest are dropped: k codes have k ids at least.
-        nearest = F.rank().over(W.partitionBy("query").orderBy("distance"))
+        hits = spread.join(index.hint("merge"), ["segment", "value", "salt"]).withColumn("apart", apart)
+        first = (F.array_min("apart") == radius) & (F.array_position("apart", F.lit(radius)) == F.col("segment") + 1)
+        hits = hits.where(first).select("query", "code", "n", "low", F.expr("aggregate(apart, 0, (a, x) -> a + x)").alias("distance"))
+        # k codes in the order of distance and least id hold the k nearest ids; each task drops the others first.
+        nearest = F.row_number().over(W.partitionBy("query").orderBy("distance", F.col("low").asc_nulls_last()))
+        if best is not None:
+            hits = hits.unionByName(best.join(open_, "query", "left_semi"))
         best = scratch.write(hits.withColumn("r", nearest).where(F.col("r") <= k).drop("r"), f"best{radius}")
         bound = n_segments * (radius + 1) - 1
         covered = best.where(F.col("distance") <= bound).groupBy("query").agg(F.sum("n").alias("found"))
@@ -76,4 +101,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
         found = found.unionByName(more)
     pairs = found.join(members, "code").select("query", "vec_id", "distance")
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", F.col("vec_id").asc_nulls_last()))).where(F.col("rank") <= k)
-    return asked.join(ranked, "query").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.col("distance").cast("long").alias("distance"))
+    out = asked.join(ranked, "query").select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.col("distance").cast("long").alias("distance"))
+    out = scratch.write(out, "nearest")
+    scratch.close(out)
+    return out
