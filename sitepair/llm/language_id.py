@@ -1,21 +1,21 @@
 """Operator 10, language identification by cross-parsing entropy.
 
 Labelled text of each language gives a suffix automaton. A text is parsed against it from left to
-right into the longest phrases that occur in the labelled text; the language that needs the fewest
-phrases for each character wins. The automata are built on the driver from a bounded sample and walked
-as dense tables, many blocks of text in step.
+right into the longest phrases that occur in the labelled text; a letter that doesn't occur there is a
+phrase of its own. The language that needs the fewest phrases for each character wins. The automata are
+built on the driver from a bounded sample; their transitions are kept sparsely, so that any number of
+letters and scripts will do, and are walked many blocks of text in step.
 
 Texts are folded to lower case and runs of other than letters become one space; a text is parsed in
 blocks of ``BLOCK`` characters, all of them. Null texts and texts without a letter are ``und`` with score 0. Ties
 go to the language that sorts first. The sample takes ``FIT_DOCS`` labelled documents for each language
-(those of least hashed id) and ``FIT_CHARS`` characters for each language, less where the tables of all
-languages would pass ``TABLE_CELLS``. Without any labelled row every text is ``und``.
+(those of least hashed id) and ``FIT_CHARS`` characters for each language, whatever the number of languages:
+about 1.3 MB of tables each. More than ``MAX_LANGS`` languages are refused. Without any labelled row every
+text is ``und``. Repeated rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +26,7 @@ from .common import held_out
 
 FIT_DOCS = 64
 FIT_CHARS = 24_000
-TABLE_CELLS = 16_000_000
-SYMBOLS = 63
+MAX_LANGS = 500
 BLOCK = 256
 UNKNOWN = "und"
 
@@ -85,36 +84,72 @@ def fold(text: str) -> np.ndarray:
     return out[keep]
 
 
+class Automaton:
+    """Transitions as one array of slots: that of ``state`` by symbol ``c`` is in slot ``base[state] + c``, which
+    holds the state it belongs to and the state it leads to. Symbol 0 leads nowhere, and no transition to state 0."""
+
+    def __init__(self, moves: list[dict[int, int]], symbols: int):
+        steps = [{c: to for c, to in m.items() if c} for m in moves]
+        free = np.ones(0, bool)
+        self.base = np.zeros(len(steps), np.int32)
+        first, end = symbols, symbols  # no slot before the first is used, so that no base is negative; none from the end on
+        for state in sorted(range(len(steps)), key=lambda s: -len(steps[s])):
+            own = np.array(list(steps[state]), np.int64)
+            if not len(own):
+                continue
+            if end + symbols + 512 > len(free):
+                free = np.concatenate([free, np.ones(len(free) + symbols + 1024, bool)])
+            while not free[first]:
+                first += 1
+            starts = first + np.flatnonzero(free[first : first + 256]) - int(own[0])
+            fits = starts[free[starts[:, None] + own].all(1)]
+            at = int(fits[0]) if len(fits) else end
+            end = max(end, at + int(own.max()) + 1)
+            self.base[state] = at
+            free[at + own] = False
+        self.slots = np.full(end + symbols + 1, -1, np.int64)
+        for state, m in enumerate(steps):
+            for c, to in m.items():
+                self.slots[self.base[state] + c] = state << 32 | to
+        self.root = np.zeros(symbols + 1, np.int64)
+        self.root[list(steps[0])] = list(steps[0].values())
+
+    def phrases(self, steps: np.ndarray) -> np.ndarray:
+        """The number of phrases of each column of ``steps`` (columns end in -1): longest matches, from left to right."""
+        state = np.zeros(steps.shape[1], np.int64)
+        n = np.zeros(steps.shape[1], np.int64)
+        for c in steps:
+            live = c >= 0
+            if not live.all():
+                c = np.maximum(c, 0)
+            slot = self.slots[self.base[state] + c]
+            ends = (slot >> 32) != state
+            n += (ends | (state == 0)) & live
+            state = np.where(ends, self.root[c], slot & 0xFFFFFFFF)
+        return n
+
+
 class Model:
-    """``symbol`` numbers the frequent letters from 1; 0 is any other and ends each phrase."""
+    """``points`` are the letters of all samples, numbered from 1; 0 is any other letter."""
 
     def __init__(self, texts: dict[str, list[str]], fit_chars: int = FIT_CHARS):
         self.langs = sorted(texts)
-        budget = min(fit_chars, TABLE_CELLS // (2 * (SYMBOLS + 1) * max(1, len(self.langs))))
         folded = {}
         for lang in self.langs:
             parts, n = [], 0
-            share = max(1, budget // max(1, min(len(texts[lang]), FIT_DOCS)))
             for t in sorted(map(fold, texts[lang]), key=len):
-                left = len(texts[lang]) - len(parts)
-                share = max(1, (budget - n) // max(1, left))  # short texts leave their part to longer ones
+                share = max(1, (fit_chars - n) // (len(texts[lang]) - len(parts)))  # short texts leave their part to longer ones
                 parts.append(t[:share])
                 n += len(parts[-1])
             folded[lang] = parts
-        count = Counter(c for parts in folded.values() for p in parts for c in p.tolist())
-        self.points = np.array(sorted(c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS]), np.uint32)
-        self.tables = []
+        every = [p for parts in folded.values() for p in parts]
+        self.points = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint32)
+        self.automata = []
         for lang in self.langs:
             symbols: list[int] = []
             for p in folded[lang]:
                 symbols += [0, *self.number(p).tolist()]
-            moves = suffix_automaton(symbols)
-            table = np.zeros((len(moves), SYMBOLS + 1), np.int32)
-            for state, step in enumerate(moves):
-                for c, to in step.items():
-                    if c:
-                        table[state, c] = to
-            self.tables.append(table)
+            self.automata.append(Automaton(suffix_automaton(symbols), len(self.points)))
 
     def number(self, points: np.ndarray) -> np.ndarray:
         if not len(self.points):
@@ -122,29 +157,16 @@ class Model:
         at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
         return np.where(self.points[at] == points, at + 1, 0)
 
-    def phrases(self, blocks: np.ndarray) -> np.ndarray:
+    def phrases(self, blocks: np.ndarray) -> list[np.ndarray]:
         """Phrases of each row of ``blocks`` (rows end in -1), for each language."""
         steps = np.ascontiguousarray(blocks.T)
-        out = np.zeros((len(self.tables), len(blocks)), np.int64)
-        width = SYMBOLS + 1
-        for k, table in enumerate(self.tables):
-            flat, root = table.ravel(), table[0]
-            state = np.zeros(len(blocks), np.int32)
-            n = out[k]
-            for c in steps:
-                live = c >= 0
-                c = np.maximum(c, 0)
-                to = flat[state * width + c]
-                fresh = to == 0  # no state moves to the root, so 0 is: no such phrase
-                n += fresh & live
-                state = np.where(fresh, root[c], to)
-        return out
+        return [a.phrases(steps) for a in self.automata]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [self.number(fold(t)) if t else np.empty(0, np.int64) for t in texts]
         counts = [-(-len(c) // BLOCK) for c in codes]
         total = np.zeros((len(self.langs), len(texts)), np.int64)
-        rows = np.full((sum(counts), BLOCK), -1, np.int16)
+        rows = np.full((sum(counts), BLOCK), -1, np.int32)
         owner = np.repeat(np.arange(len(texts)), counts)
         at = 0
         for c, n in zip(codes, counts, strict=True):
@@ -172,6 +194,8 @@ class Model:
 def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Model:
     """From ``labelled(doc_id, text, lang)``: whole documents with the least hashed ids of each language."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.col("text").cast("string"))
+    if labelled.where("lang is not null").select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id", F.xxhash64("text"))
     # The limit on the row number is applied before the shuffle too: fit_docs rows for each language and task.
     chosen = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fit_docs)
@@ -183,7 +207,7 @@ def fit(labelled: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHAR
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each of ``docs``; reads ``text`` only."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLE_CELLS cells at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FIT_CHARS characters of MAX_LANGS languages at most
 
     def run(batches):
         for batch in batches:
