@@ -6,7 +6,8 @@ released block that is due first goes out. As the weights fill all slots, every
 slot, and each source's share stays within less than one block of its target at every slot. The
 schedule repeats after D slots, so one period is computed and a block's slot follows by arithmetic.
 When a source runs out, a new phase starts at zero lag with the weights of the sources that are left,
-in the same proportions: no row is dropped or repeated.
+in the same proportions: no row is dropped or repeated. The bound of one block holds in each phase, against
+the weights of the sources that are live in it; over phases a source's lags add up, one block a phase at most.
 
 Sources that the weights don't name, and null sources, share the rest weight as one source. Rows with
 equal or null ids are kept and ordered arbitrarily among themselves. An empty table gives an empty result.
@@ -77,7 +78,9 @@ def mix(docs: DataFrame, units: Mapping[str, int] = TARGETS, block_docs: int = B
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     rows = docs.select("doc_id", "source", source.alias("_group"), F.xxhash64("doc_id", F.lit(seed)).alias("_order"), *row)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "_group", "_order", "doc_id").sortWithinPartitions("_group", "_order", "doc_id")
+    # Rows of one id, or of none, are told apart by their place, so that they are no single key of the range.
+    order = ("_group", "_order", "doc_id", "_tie")
+    rows = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_tie")
     # Within a partition the increasing id numbers the sorted rows: no window over a source is needed.
     rows = scratch.write(rows.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()), "ordered")
     parts = rows.groupBy("_group", "_part").agg(F.count("*").alias("n"), F.min("_seq").alias("first"))
