@@ -21,6 +21,14 @@ def op2_redirect_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def redirect_classes(spark, sf_dir):
+    """The URL filter with synthetic redirects, as the pages declare none: every page leads to the first of its four."""
+    pages = read(spark, sf_dir, "pages")
+    firsts = pages.select(F.col("page_id").alias("first"), F.col("url").alias("target_url"))
+    moved = pages.select(F.col("url").alias("source_url"), F.expr("page_id div 4 * 4").alias("first")).join(firsts, "first")
+    return url_filter.judge(pages, moved.select("source_url", "target_url"))
+
+
 def op3_importance_resampling(spark, sf_dir):
     return quality_classifier.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -63,7 +71,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [op1_pfair_mixing, op2_redirect_url_filter, op3_importance_resampling, op4_probminhash_near_dedup, op5_substring_dedup, op6_byte_bpe, op7_hamming_topk, op8_quality_rules, op9_license_digests, op10_cross_parsing_language, pipeline]
+    own = [op1_pfair_mixing, op2_redirect_url_filter, redirect_classes, op3_importance_resampling, op4_probminhash_near_dedup, op5_substring_dedup, op6_byte_bpe, op7_hamming_topk, op8_quality_rules, op9_license_digests, op10_cross_parsing_language, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -71,7 +79,9 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _url_sql() -> str:
+def _url_sql(redirects: str = "") -> str:
+    """``redirects``: a query of more edges ``(source_url, target_url)``."""
+
     def part(url: str, n: int) -> str:
         return f"coalesce(regexp_extract({url}, '{url_filter.ADDRESS}', {n}), '')"
 
@@ -85,22 +95,38 @@ def _url_sql() -> str:
             cases += f" WHEN ({host(url)} = '{rule_host}' OR ends_with({host(url)}, '.{rule_host}')) AND starts_with({part(url, 2)}, '{path}') THEN '{value}'"
         return f"CASE{cases} END"
 
+    def resolved(path: str) -> str:
+        fold = f"""list_reduce(list_transform(string_split({path}, '/'), lambda x: [x]), lambda a, x: CASE WHEN x[1] = '..' THEN a[:greatest(len(a) - 1, 1)] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END)"""
+        out = f"array_to_string({fold}, '/') || CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN '/' ELSE '' END"
+        return f"CASE WHEN {path} IN ('', '/.', '/..') THEN '/' WHEN contains({path}, '/.') THEN {out} ELSE {path} END"
+
     def address(url: str) -> str:
-        return f"CASE WHEN {host(url)} <> '' THEN {host(url)} || {part(url, 2)} || {part(url, 3)} END"
+        return f"CASE WHEN {host(url)} <> '' THEN {host(url)} || {resolved(part(url, 2))} || {part(url, 3)} END"
+
+    def quoted(pattern: str) -> str:
+        return pattern.replace("'", "''")
+
+    def attribute(name: str) -> str:
+        value = quoted(rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+        return " || ".join(f"regexp_extract(tag, '{value}', {i})" for i in (1, 2, 3))
 
-    link = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"'']?canonical\b[^>]*>)"
-    refresh = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b[^>]*>)"
+    to = "t"
+    for entity, character in url_filter.ENTITIES:
+        to = f"replace({to}, '{entity}', '{quoted(character)}')"
+    scheme = "'^[A-Za-z][A-Za-z0-9+.-]*"
+    more = f" UNION ALL SELECT {address('source_url')}, {address('target_url')} FROM ({redirects})" if redirects else ""
     return rf"""
-WITH RECURSIVE tags AS (
-  SELECT url, unnest(list_concat(regexp_extract_all(html, '{link}', 1), regexp_extract_all(html, '{refresh}', 1))) AS tag FROM pages),
-targets AS (
-  SELECT url, CASE WHEN lower(tag[1:5]) = '<link' THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END AS t FROM tags),
+WITH RECURSIVE shown AS (SELECT url, regexp_replace(html, '{url_filter.HIDDEN}', ' ', 'g') AS html FROM pages),
+tags AS (
+  SELECT url, unnest(list_concat(regexp_extract_all(html, '{quoted(url_filter.CANONICAL)}', 1), regexp_extract_all(html, '{quoted(url_filter.REFRESH)}', 1))) AS tag FROM shown),
+raw AS (SELECT url, CASE WHEN lower(tag[1:5]) = '<link' THEN {attribute("href")} ELSE regexp_extract({attribute("content")}, '{quoted(url_filter.MOVED)}', 1) END AS t FROM tags),
+targets AS (SELECT url, trim(translate({to}, chr(9) || chr(13) || chr(10), '   ')) AS t FROM raw),
 complete AS (
-  SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || {host("url")} || t
-    WHEN t <> '' THEN 'http://' || {host("url")} || regexp_replace({part("url", 2)}, '[^/]*$', '') || t END AS t FROM targets),
-edges AS (SELECT {address("url")} AS u, {address("t")} AS v FROM complete),
-ties AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
+  SELECT url, CASE WHEN regexp_matches(t, {scheme}://') THEN t WHEN t = '' OR starts_with(t, '#') OR regexp_matches(t, {scheme}:') THEN NULL
+    WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || {host("url")} || t WHEN starts_with(t, '?') THEN 'http://' || {host("url")} || {part("url", 2)} || t
+    ELSE 'http://' || {host("url")} || '/' || regexp_replace(regexp_replace({part("url", 2)}, '^/', ''), '[^/]*$', '') || t END AS t FROM targets),
+edges AS (SELECT {address("url")} AS u, {address("t")} AS v FROM complete{more}),
+ties AS (SELECT DISTINCT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
 reach AS (
   SELECT DISTINCT u AS a FROM ties WHERE {rule("'x://' || u", 1)} = 'block'
   UNION SELECT ties.v FROM reach JOIN ties ON ties.u = reach.a)
@@ -148,13 +174,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def _license_sql() -> str:
     def digest(text: str) -> str:
         out = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT_LINE}', ' ', 'g')"
-        for pattern, to in licenses.SPELLINGS:
-            out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+        for spelling, to in licenses.SPELLINGS:
+            out = f"replace({out}, '{spelling}', '{to}')"
+        pattern, to = licenses.VERSION
+        out = f"regexp_replace({out}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
         return f"sha256(trim(regexp_replace({out}, '{licenses.PUNCTUATION}', ' ', 'g')))"
 
     values = ", ".join(f"({_quoted(name)}, {_quoted(body)})" for name, body in licenses.KNOWN)
+    digests = ", ".join(f"('{value}', '{name}')" for name, value in licenses.DIGESTS)
     return f"""
-WITH known AS (SELECT {digest("body")} AS digest, min(license) AS license FROM (VALUES {values}) v(license, body) GROUP BY 1),
+WITH known AS (SELECT digest, min(license) AS license FROM (SELECT {digest("body")} AS digest, license FROM (VALUES {values}) v(license, body)
+  UNION ALL SELECT * FROM (VALUES {digests}) v(digest, license)) GROUP BY 1),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 notes AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM
   (SELECT doc_id, {digest("line")} AS digest FROM lines WHERE regexp_matches(lower(line), '{licenses.NAMES_A_LICENSE}')) JOIN known USING (digest) GROUP BY doc_id)
@@ -166,7 +196,7 @@ FROM (SELECT doc_id, {digest("text")} AS digest FROM documents) d LEFT JOIN know
 def _topk_sql() -> str:
     return f"""
 WITH p AS (SELECT q.vec_id AS query_id, b.vec_id,
-  CAST(list_sum(list_transform(range(1, {topk.BITS + 1}), lambda i: CASE WHEN (coalesce(q.embedding[i], 0) > 0) <> (coalesce(b.embedding[i], 0) > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+  CAST(list_sum(list_transform(range(1, greatest(len(q.embedding), len(b.embedding)) + 1), lambda i: CASE WHEN (coalesce(q.embedding[i], 0) > 0) <> (coalesce(b.embedding[i], 0) > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS distance
   FROM embeddings q, embeddings b WHERE q.vec_id % {QUERY_EVERY} = 0 AND q.embedding IS NOT NULL AND b.embedding IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
 SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= {topk.K}
@@ -174,4 +204,5 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= {topk.K}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_redirect_url_filter": _url_sql(), "op5_substring_dedup": _substring_sql(), "op7_hamming_topk": _topk_sql(), "op8_quality_rules": _rules_sql(), "op9_license_digests": _license_sql()}
+    moved = "SELECT p.url AS source_url, f.url AS target_url FROM pages p JOIN pages f ON f.page_id = p.page_id // 4 * 4"
+    return {"op2_redirect_url_filter": _url_sql(), "redirect_classes": _url_sql(moved), "op5_substring_dedup": _substring_sql(), "op7_hamming_topk": _topk_sql(), "op8_quality_rules": _rules_sql(), "op9_license_digests": _license_sql()}
