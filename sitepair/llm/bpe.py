@@ -1,9 +1,9 @@
 """Operator 6, byte-level BPE encoding and decoding.
 
 Bytes are mapped to Latin-1 characters, one each, so that an Aho-Corasick automaton over characters
-finds every token in a piece. A piece is then encoded by taking the longest token at each place and
-backtracking to a shorter one where two neighbours are not compatible. Two tokens are compatible if
-merging their joined bytes by rank gives back the two; that answer is memoised, and a sequence whose
+finds the longest token at a place of a piece. A piece is then encoded from left to right by the longest
+tokens, backtracking to a token's longest prefix that is a token where two neighbours are not compatible. Two tokens are compatible if
+merging their joined bytes by rank gives back the two, which their last merges tell; that answer is memoised, and a sequence whose
 neighbours are all compatible is the one that the merges give. Each place is left for good once no
 token from it can lead to the end, so that the work is linear in the piece.
 
@@ -17,6 +17,7 @@ import base64
 import gc
 import hashlib
 import re
+import struct
 
 import ahocorasick
 import numpy as np
@@ -39,23 +40,16 @@ NONE = 1 << 60
 _CROWDED = re.compile(r"\s | \s|^ | $", re.MULTILINE)
 
 
-def merge(data: bytes, ranks: dict[bytes, int], border: int = -1) -> list[int] | None:
-    """The definition: merge the neighbours of least rank, the first on ties, until none has a rank.
-
-    None as soon as a merge would join what lies on both sides of byte ``border``.
-    """
+def merge(data: bytes, ranks: dict[bytes, int], below: int = NONE) -> list[int]:
+    """The definition: merge the neighbours of least rank, the first on ties, until none has a rank under ``below``."""
     get = ranks.get
     parts = [data[i : i + 1] for i in range(len(data))]
     costs = [get(data[i : i + 2], NONE) for i in range(len(data) - 1)]
     while costs:
         best = min(costs)
-        if best == NONE:
+        if best >= below:
             break
         at = costs.index(best)
-        if at + 1 == border:
-            return None
-        if at + 1 < border:
-            border -= 1
         joined = parts[at] = parts[at] + parts.pop(at + 1)
         del costs[at]
         if at:
@@ -77,25 +71,30 @@ class _Memo(dict):
 
 
 class Encoder:
-    """``unreachable``: tokens that merging their own bytes doesn't give, as ``unreachable_tokens`` finds them.
+    """``splits``: of each token the two that its last merge joins, as ``last_merges`` finds them.
 
     ``spaced``: False for a pattern that can carry a piece over a lone space.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, unreachable=None, spaced: bool = True):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, splits=None, spaced: bool = True):
         self.spaced = spaced
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.lengths = {i: len(t) for t, i in ranks.items()}
+        self.lengths = [0] * (max(self.tokens) + 1)
+        self.shorter = [-1] * len(self.lengths)  # the longest proper prefix that is a token, if any
         self.pieces = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
-        unreachable = unreachable_tokens(ranks) if unreachable is None else unreachable
+        self.splits = last_merges(ranks) if splits is None else splits
+        reached = {i for t, i in ranks.items() if len(t) == 1 or i in self.splits}
         for token, i in ranks.items():
-            if i not in unreachable:
+            self.lengths[i] = len(token)
+            if i in reached:
                 self.automaton.add_word(token.decode("latin-1"), i)
+                found = (ranks.get(token[:n], -1) for n in range(len(token) - 1, 0, -1))
+                self.shorter[i] = next((f for f in found if f in reached), -1)
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.memo = _Memo(lambda piece: np.array(self.encode_piece(piece.encode()), "<u4").tobytes())
+        self.memo = _Memo(self._piece)
         self.chunks = _Memo(self._chunk)
         ids = sorted(self.tokens)
         self.token_lengths = np.zeros(ids[-1] + 1, np.int64)
@@ -104,47 +103,63 @@ class Encoder:
         self.token_bytes = np.frombuffer(b"".join(self.tokens[i] for i in ids), np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging leaves ``a`` followed by ``b`` as they are."""
+        """Whether merging leaves ``a`` followed by ``b`` as they are.
+
+        Their merges are undone from the last to the first: the parts that then meet at the border must not join
+        before the merge that was undone.
+        """
         if len(self.fits) >= MEMO:
             self.fits.clear()
-        left = self.tokens[a]
-        known = self.fits[a << 32 | b] = merge(left + self.tokens[b], self.ranks, len(left)) is not None
+        x, y, bound = a, b, NONE
+        tokens, ranks, splits, known = self.tokens, self.ranks, self.splits, True
+        while True:
+            joined = ranks.get(tokens[x] + tokens[y])
+            if joined is not None and joined < bound:
+                known = False
+                break
+            left, right = splits.get(x), splits.get(y)
+            if left is not None and (right is None or x > y):
+                x, bound = left[1], x  # on a tie of ranks the merge further left comes first
+            elif right is not None:
+                y, bound = right[0], y + 1
+            else:
+                break
+        self.fits[a << 32 | b] = known
         return known
 
+    def _piece(self, piece: str) -> bytes:
+        ids = self.encode_piece(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode_piece(self, data: bytes) -> list[int]:
-        if data in self.ranks:
-            return [self.ranks[data]]
-        n, lengths, fits = len(data), self.lengths, self.fits
-        starting: list[list[int]] = [[] for _ in range(n + 1)]  # tokens by start, shortest first
-        for end, i in self.automaton.iter(data.decode("latin-1")):
-            starting[end + 1 - lengths[i]].append(i)
-        out: list[int] = []
-        left: list[list[int]] = []  # of each token taken, the shorter ones to go back to
+        if (known := self.ranks.get(data)) is not None:
+            return [known]
+        text, longest, fits, lengths, shorter = data.decode("latin-1"), self.automaton.iter_long, self.fits, self.lengths, self.shorter
+        n, out, last, at = len(text), [], -1, 0
         dead = bytearray(n + 1)
-        at, last = 0, -1
-        options = starting[0].copy()
         while at < n:
-            while options:
-                token = options.pop()
-                end = at + lengths[token]
-                if dead[end]:
-                    continue
-                if last >= 0:
-                    fit = fits.get(last << 32 | token)
-                    if not (self.compatible(last, token) if fit is None else fit):
-                        continue
-                out.append(token)
-                left.append(options)
-                at, last = end, token
-                options = starting[at].copy()
-                break
-            else:
+            end, token = next(longest(text, at), (-1, -1))
+            if token < 0 or end + 1 - lengths[token] != at:
+                raise ValueError("a byte of the text has no token")
+            while True:
+                while token >= 0:
+                    if not dead[at + lengths[token]]:
+                        if last < 0:
+                            break
+                        fit = fits.get(last << 32 | token)
+                        if self.compatible(last, token) if fit is None else fit:
+                            break
+                    token = shorter[token]
+                if token >= 0:
+                    out.append(token)
+                    at, last = at + lengths[token], token
+                    break
                 if not out:
-                    raise ValueError("a byte of the text has no token")
-                dead[at] = 1
-                at -= lengths[out.pop()]
-                last = out[-1] if out else -1
-                options = left.pop()
+                    raise ValueError("the merges give this text no tokens")
+                dead[at] = 1  # no token from here leads to the end
+                token = out.pop()
+                at, last = at - lengths[token], out[-1] if out else -1
+                token = shorter[token]
         return out
 
     def _pieces(self, text: str) -> bytes:
@@ -179,8 +194,16 @@ class Encoder:
         return self.token_bytes[np.repeat(self.token_starts[ids] - ends + lengths, lengths) + np.arange(ends[-1])].tobytes()
 
 
-def unreachable_tokens(ranks: dict[bytes, int]) -> frozenset[int]:
-    return frozenset(i for token, i in ranks.items() if merge(token, ranks) != [i])
+def last_merges(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
+    """The two tokens that the last merge of a token's own bytes joins; none for single bytes, nor for tokens that
+    merging their own bytes doesn't give."""
+    out = {}
+    for token, i in ranks.items():
+        if len(token) > 1:
+            parts = merge(token, ranks, below=i)
+            if len(parts) == 2:
+                out[i] = (parts[0], parts[1])
+    return out
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str = "doc_id") -> DataFrame:
@@ -199,15 +222,15 @@ def encode_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_co
 
 def _run(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_column: str, columns: str, row) -> DataFrame:
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((ranks, unreachable_tokens(ranks)))  # a vocabulary, of fixed size
+    shared = spark.sparkContext.broadcast((ranks, last_merges(ranks)))  # a vocabulary, of fixed size
     source = docs.select(F.col(id_column), F.col("text").cast("string"))
     names = [c.split()[0] for c in columns.split(",")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[c.split()[1]] for c in columns.split(",")]
 
     def run(batches):
-        ranks, unreachable = shared.value
-        encoder = Encoder(ranks, pattern, unreachable)
+        ranks, splits = shared.value
+        encoder = Encoder(ranks, pattern, splits)
         try:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
