@@ -37,7 +37,9 @@ REGISTERS = ROWS * BANDS
 #: A link has 56 or more of 96 registers in common, but for a chance of 3.6e-7.
 AGREE = 56
 #: Signatures of a block of a bucket, and texts of a block of a group of candidates.
-BLOCK, TEXT_BLOCK = 2048, 192
+BLOCK, TEXT_BLOCK = 2048, 512
+#: Words of 64 bits of the filter that finds the rows whose texts are compared: this many short rows are broadcast at most.
+FILTER_WORDS = 1 << 19
 _U = np.uint64
 
 
@@ -221,8 +223,28 @@ def _verify_blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], names=["u", "v"])
 
 
-def _block(rep: str, blocks: str):
-    return F.pmod(F.xxhash64(rep, F.lit(23)), F.col(blocks)).cast("int")
+def _blocks(rep: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    return (tx.mix(np.asarray(rep, np.int64).astype(np.uint64) ^ _U(23)) % np.asarray(n, np.uint64)).astype(np.int64)
+
+
+def _deal(batches):
+    """Of ``rep, sg, blocks, partners``: each list, split by the pair of blocks that text and partner are in, and for
+    each pair of blocks the texts that it names, without partners."""
+    for batch in batches:
+        out: list[tuple[int, int, int, int, list[int] | None]] = []
+        named = set()
+        for rep, sg, n, partners in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            mine, theirs = int(_blocks([rep], n)[0]), _blocks(partners, n)
+            partners = np.array(partners, np.int64)
+            for block in np.unique(theirs).tolist():
+                tile = (sg, min(mine, block), max(mine, block))
+                own = partners[theirs == block].tolist()
+                out.append((*tile, rep, own))
+                named.update((*tile, x) for x in (rep, *own))
+        out += [(*x, None) for x in named]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        columns = zip(*out, strict=True) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["sg", "bi", "bj", "rep", "partners"])
 
 
 def _split_buckets(members: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -233,7 +255,7 @@ def _split_buckets(members: DataFrame, nodes: DataFrame, labels: DataFrame, scra
     if split.isEmpty():
         return None
     rows = labelled.join(split, "key").join(nodes.select("rep", "sig"), "rep")
-    rows = rows.withColumn("_nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", _block("rep", "_nb"))
+    rows = rows.withColumn("_nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep", F.lit(23)), F.col("_nb")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     rows = rows.withColumn("bi", F.least("blk", "_o")).withColumn("bj", F.greatest("blk", "_o")).select("key", "bi", "bj", "rep", "label", "blk", "low", "sig")
     n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -250,22 +272,31 @@ def _compare_all(rows: DataFrame, labels: DataFrame, texts: DataFrame, scratch:
     """The links among all pairs of different classes that ``rows`` of split buckets hold."""
     found = scratch.write(rows.mapInArrow(_candidates, "kind int, a long, partners array<long>"), "candidates")
     hang = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("partners")[0].alias("v")), scratch)
-    sizes = scratch.write(hang.groupBy("label").agg(F.ceil(F.count("*") / TEXT_BLOCK).cast("int").alias("_nb")), "sizes")
-    placed = hang.join(sizes, "label").select(F.col("node").alias("rep"), F.col("label").alias("sg"), _block("node", "_nb").alias("blk"))
-    placed = scratch.write(placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "sg", "blk", F.coalesce("label", "rep").alias("label")), "placed")
+    sizes = scratch.write(hang.groupBy("label").agg(F.ceil(F.count("*") / TEXT_BLOCK).alias("blocks")), "sizes")
+    placed = scratch.write(hang.join(sizes, "label").select(F.col("node").alias("rep"), F.col("label").alias("sg"), "blocks"), "placed")
     # A list goes to the pairs of blocks that its partners are in, and a text to those that name it: no task gets a whole group.
-    pairs = found.where("kind = 0").select(F.col("a").alias("rep"), F.explode("partners").alias("p")).join(placed.drop("label"), "rep")
-    pairs = pairs.join(placed.select(F.col("rep").alias("p"), F.col("blk").alias("_q")), "p")
+    lists = found.where("kind = 0").select(F.col("a").alias("rep"), "partners").join(placed, "rep").select("rep", "sg", "blocks", "partners")
+    dealt = scratch.write(lists.mapInArrow(_deal, "sg long, bi long, bj long, rep long, partners array<long>"), "dealt")
     tile = ["sg", "bi", "bj"]
-    pairs = pairs.select("sg", F.least("blk", "_q").alias("bi"), F.greatest("blk", "_q").alias("bj"), "rep", "p")
-    lists = scratch.write(pairs.groupBy(*tile, "rep").agg(F.collect_list("p").alias("partners")), "lists")
-    named = lists.select(*tile, "rep").union(lists.select(*tile, F.explode("partners"))).distinct()
-    held = named.join(placed.select("rep", "label"), "rep").join(texts, "rep").select(*tile, "rep", "label", "text", F.lit(None).cast("array<long>").alias("partners"))
-    asked = lists.select(*tile, "rep", F.lit(None).cast("long").alias("label"), F.lit(None).cast("string").alias("text"), "partners")
+    named = dealt.where("partners is null").select(*tile, "rep").distinct()
+    label = F.coalesce("label", "rep").alias("label")
+    held = named.join(texts, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*tile, "rep", label, "text", F.lit(None).cast("array<long>").alias("partners"))
+    asked = dealt.where("partners is not null").select(*tile, "rep", F.lit(None).cast("long").alias("label"), F.lit(None).cast("string").alias("text"), "partners")
     n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     return held.unionByName(asked).repartition(n, *tile).sortWithinPartitions(*tile).mapInArrow(_verify_blocks, "u long, v long")
 
 
+def _may_hold(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``, by a Bloom filter of FILTER_WORDS words:
+    a filter too small for ``wanted`` lets more rows pass, and never drops one of its keys."""
+    hashed = F.xxhash64(key, F.lit(29))
+    word, bit = F.pmod(F.shiftright(hashed, 6), F.lit(FILTER_WORDS)), F.expr(f"shiftleft(1L, cast(xxhash64({key}, 29) & 63 as int))")
+    words = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumn("_w", word).withColumn("_b", bit)
+    fits = (F.col("_w") == F.col("_word")) & (F.col("_b").bitwiseAND(F.col("_bits")) != 0)
+    return marked.join(F.broadcast(words), fits, "left_semi").drop("_w", "_b")  # FILTER_WORDS rows at most
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", key_of(F.col("text")).alias("tk"), "text")
 
@@ -285,7 +316,7 @@ def _assign(docs: DataFrame) -> DataFrame:
     scratch.free_shuffles()
     wanted = scratch.write(members.select("rep").distinct().join(nodes.select("rep", "tk", F.col("low_id").alias("doc_id")), "rep"), "wanted")
     # One row of each text: the one of its least id; the id keeps a text of many copies from being a hot key.
-    texts = base.join(wanted, ["doc_id", "tk"]).dropDuplicates(["rep"]).select("rep", "text")
+    texts = _may_hold(base, wanted, "tk").join(wanted, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("rep", "text")
     texts = scratch.write(texts, "texts")
     scratch.free_shuffles()
 
