@@ -33,6 +33,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Short rows of one file of a scratch table.
+ROWS_A_FILE = 50_000
+
+
 class Scratch:
     """Written tables that cut lineage: Parquet in the shared folder, so a lost executor loses nothing."""
 
@@ -42,8 +46,11 @@ class Scratch:
         self._n = 0
         self._paths: set[str] = set()
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """``rows``: how many short rows there are at most, where that is known: few rows are few files."""
         self._n += 1
+        if rows is not None and (files := max(1, -(-rows // ROWS_A_FILE))) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         self._paths.add(path)

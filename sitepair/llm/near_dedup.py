@@ -309,12 +309,14 @@ def _assign(docs: DataFrame) -> DataFrame:
     named = sketched.where("doc_id is not null and tk is not null")
     nodes = named.groupBy("tk").agg(F.min("doc_id").alias("low_id"), F.first("sig").alias("sig"))
     nodes = scratch.write(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")  # numbered once: the table is written
-    keys = scratch.write(nodes.where("sig is not null").select("rep", "sig").mapInArrow(_band_keys, "rep long, key long"), "keys")
-    buckets = scratch.write(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high").drop("high"), "buckets")
-    members = scratch.write(keys.join(buckets, "key"), "members")
+    n = nodes.count()
+    keys = scratch.write(nodes.where("sig is not null").select("rep", "sig").mapInArrow(_band_keys, "rep long, key long"), "keys", BANDS * n)
+    buckets = scratch.write(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n")).where("low < high").drop("high"), "buckets", BANDS * n)
+    n_members = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = scratch.write(keys.join(buckets, "key"), "members", n_members)
     scratch.delete(keys, buckets)
     scratch.free_shuffles()
-    wanted = scratch.write(members.select("rep").distinct().join(nodes.select("rep", "tk", F.col("low_id").alias("doc_id")), "rep"), "wanted")
+    wanted = scratch.write(members.select("rep").distinct().join(nodes.select("rep", "tk", F.col("low_id").alias("doc_id")), "rep"), "wanted", min(n, n_members))
     # One row of each text: the one of its least id; the id keeps a text of many copies from being a hot key.
     texts = _may_hold(base, wanted, "tk").join(wanted, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("rep", "text")
     texts = scratch.write(texts, "texts")
@@ -329,9 +331,9 @@ def _assign(docs: DataFrame) -> DataFrame:
         more = scratch.write(_compare_all(rows, labels, texts, scratch), "more-links")
         labels = components(links.unionByName(more), scratch)
     placed = nodes.select("tk", "rep", "low_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = scratch.write(placed.select("tk", "low_id", F.coalesce("label", "rep").alias("label")), "placed-nodes")
+    placed = scratch.write(placed.select("tk", "low_id", F.coalesce("label", "rep").alias("label")), "placed-nodes", n)
     named = placed.groupBy("label").agg(F.min("low_id").alias("class_id"), F.min("tk").alias("class_key"))
-    final = scratch.write(placed.join(named, "label").select("tk", "class_id", "class_key"), "final")
+    final = scratch.write(placed.join(named, "label").select("tk", "class_id", "class_key"), "final", n)
     out = sketched.select("doc_id", "tk").join(final, "tk", "left")
     known = F.col("doc_id").isNotNull()
     out = scratch.write(out.select("doc_id", "tk", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("class_key")).alias("class_key")), "classes")
