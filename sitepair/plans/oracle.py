@@ -121,6 +121,55 @@ def _path_issue(x: str) -> str:
     return f"list_filter(list_transform(list_filter(string_split({x}, '/'), lambda s: s <> ''), lambda s: {one}), lambda x: x IS NOT NULL)[1]"
 
 
+def _pair_sql() -> str:
+    """Every heuristic's pairs, scored; ``_PAIR_TITLES`` is that of ``title_similarity``."""
+    n, unit = len(queries.FALLBACK), 1_000_000
+
+    def shared(name: str, value: str, rows: str, counted: bool = False) -> str:
+        what = "CAST(count(*) AS VARCHAR)" if counted else "any_value(x.v)"
+        return f"SELECT a, b, '{name}' AS name, {what} AS value FROM sides JOIN {rows} x ON x.key = a JOIN {rows} y ON y.key = b AND y.v = x.v{value} GROUP BY a, b"
+
+    score = " + ".join(f"sum(CASE name WHEN '{h}' THEN {(n - i) * unit}{f' + least(CAST(value AS BIGINT), {unit - 1})' if h == 'shared_media' else ''} ELSE 0 END)" for i, h in enumerate(queries.FALLBACK))
+    place = " ".join(f"WHEN '{h}' THEN {i}" for i, h in enumerate(queries.FALLBACK))
+    shown = "CASE WHEN name <> 'title_similarity' THEN value WHEN CAST(value AS INT) >= 100 THEN '1.00' ELSE '0.' || lpad(value, 2, '0') END"
+    return f"""WITH RECURSIVE pool AS (SELECT 'k' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS key, source AS section, lang AS locale, 'd-' || doc_id // 3 AS slug,
+  ['m' || doc_id // 4, 'm' || doc_id // 6] AS media, lower(regexp_extract(text, '^[^.\\n]*')) AS t FROM documents),
+declared AS (SELECT 'k' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS f, 'k' || lpad(CAST(doc_id - 1 AS VARCHAR), 9, '0') AS g, lang AS token FROM documents WHERE doc_id % 9 = 4),
+said AS (SELECT least(f, g) AS a, greatest(f, g) AS b, coalesce(max(CASE WHEN f < g THEN token END), max(token)) AS value FROM declared GROUP BY 1, 2),
+hreflang AS (SELECT a, b, 'hreflang' AS name, value FROM said JOIN pool x ON x.key = a JOIN pool y ON y.key = b WHERE x.locale <> y.locale),
+sides AS (SELECT x.key AS a, y.key AS b FROM pool x JOIN pool y ON x.section = y.section AND x.key < y.key AND x.locale <> y.locale
+  UNION SELECT a, b FROM hreflang),
+slugs AS (SELECT key, lower(translate(slug, '-_ ', '')) AS v FROM pool WHERE translate(slug, '-_ ', '') <> ''),
+days AS (SELECT key, strftime({_date("slug")}, '%Y-%m-%d') AS v FROM pool WHERE {_date("slug")} IS NOT NULL),
+files AS (SELECT DISTINCT key, unnest(media) AS v FROM pool),
+grams AS (SELECT key, t[i:i + 1] AS v, count(*) AS c FROM (SELECT key, t, unnest(range(1, len(t))) AS i FROM pool) GROUP BY ALL),
+sizes AS (SELECT key, sum(c) AS n FROM grams GROUP BY key),
+common AS (SELECT a, b, sum(least(x.c, y.c)) AS o FROM sides JOIN grams x ON x.key = a JOIN grams y ON y.key = b AND y.v = x.v GROUP BY a, b),
+titles AS (SELECT a, b, 'title_similarity' AS name, CAST((400 * o + x.n + y.n) // (2 * (x.n + y.n)) AS VARCHAR) AS value
+  FROM common JOIN sizes x ON x.key = a JOIN sizes y ON y.key = b WHERE 4 * o >= x.n + y.n),
+each AS (SELECT * FROM hreflang UNION ALL {shared("slug_normalized", "", "slugs")} UNION ALL {shared("date", "", "days")}
+  UNION ALL {shared("shared_media", "", "files", True)} UNION ALL SELECT * FROM titles),
+scored AS (SELECT a, b, CAST({score} AS BIGINT) AS score, string_agg(name || '=' || {shown}, ';' ORDER BY CASE name {place} END) AS evidence, bool_or(name = 'hreflang') AS declared FROM each GROUP BY a, b),
+candidates AS (SELECT scored.*, section FROM scored JOIN pool ON key = a)
+"""
+
+
+def _match_sql() -> str:
+    """Keys in order, those with a declared partner first, take the best partner that is left."""
+    return (
+        _pair_sql()
+        + """,
+turns AS (SELECT *, row_number() OVER (ORDER BY declared DESC, a) AS turn FROM
+  (SELECT a, declared, list(struct_pack(b := b, evidence := evidence) ORDER BY score DESC, b) AS options FROM
+    (SELECT a, b, score, evidence, true AS declared FROM candidates WHERE declared UNION ALL SELECT a, b, score, evidence, false FROM candidates) GROUP BY a, declared)),
+walk AS (SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS STRUCT(b VARCHAR, evidence VARCHAR)) AS won
+  UNION ALL SELECT turn, CASE WHEN won IS NULL THEN taken ELSE list_concat(taken, [a, won.b]) END, a, won FROM
+    (SELECT t.turn, w.taken, t.a, CASE WHEN NOT list_contains(w.taken, t.a) THEN list_filter(t.options, lambda x: NOT list_contains(w.taken, x.b))[1] END AS won
+     FROM walk w JOIN turns t ON t.turn = w.turn + 1))
+SELECT a, won.b AS b, won.evidence AS evidence FROM walk WHERE won IS NOT NULL"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     status_cols = "suggested_type, flags, pair_status"
     inv = _inventory(False)
@@ -161,6 +210,8 @@ g AS (SELECT key, section, locale, t[i:i + 1] AS g FROM (SELECT *, unnest(range(
 c AS (SELECT key, section, locale, g, count(*) AS c FROM g GROUP BY ALL), n AS (SELECT key, sum(c) AS n FROM c GROUP BY key),
 o AS (SELECT a.key AS a, b.key AS b, sum(least(a.c, b.c)) AS o FROM c a JOIN c b ON a.section = b.section AND a.g = b.g AND a.key < b.key AND a.locale <> b.locale GROUP BY 1, 2)
 SELECT a, b, CAST((400 * o + x.n + y.n) // (2 * (x.n + y.n)) AS BIGINT) AS value FROM o JOIN n x ON x.key = a JOIN n y ON y.key = b WHERE 4 * o >= x.n + y.n""",
+        "pair_candidates": _pair_sql() + "SELECT * FROM candidates",
+        "pair_suggestions": _match_sql(),
         "date_candidates": "SELECT CAST(d AS DATE) AS day, CAST(form AS INTEGER) AS form, CASE form WHEN 0 THEN strftime(d, '%m%d%Y') ELSE strftime(d, '%Y%m%d') END AS slug FROM generate_series(DATE '2024-01-01', DATE '2025-12-31', INTERVAL 1 DAY) t(d), (VALUES (0), (1)) f(form)",
         "orphan_hits": """WITH r0 AS (SELECT strftime(o_orderdate, '%Y%m%d') || CASE o_orderkey % 9 WHEN 0 THEN '' WHEN 3 THEN 'A' ELSE 'B' END AS slug, o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 = 0),
 r AS (SELECT slug, min(k) AS k, min(s) AS s FROM r0 GROUP BY slug), ok AS (SELECT slug FROM r WHERE s <> 'O'),
