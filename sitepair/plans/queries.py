@@ -250,8 +250,34 @@ def verify_report(spark, sf_dir):
     return verify.report(out, None, _values(spark, "missing_image", ()))
 
 
+def _audited(spark, sf_dir):
+    """Synthetic: html as the body of pages, of which some lack their block, its end, a field or readable fields, and
+    all name one of seven files; four are there, one is known to be missing."""
+    rows = inputs.safe_pages(spark, sf_dir).withColumn("_d", F.expr("page_id % 10"))
+    body = F.concat("html", F.expr("concat('\n<img src=\"/media/p', page_id % 7, '.jpg\">')"))
+    content = F.when(F.col("_d") == 0, body).when(F.col("_d") == 1, F.concat(F.lit("---\ntitle: x\n"), body)).otherwise(F.concat(F.lit("---\ntitle: x\n---\n"), body))
+    title = F.when(F.col("_d") != 2, "x").otherwise("")
+    fields = F.create_map(*[x for f in ("source_url", "slug", "translation_key", "page_type") for x in (F.lit(f), F.col(f))], F.lit("lang"), F.col("locale"), F.lit("title"), title)
+    pages = rows.select(F.regexp_replace("md_path", "^content/", "").alias("page"), content.alias("content"), F.when(F.col("_d") != 3, fields).alias("fields"), F.array().cast("array<string>").alias("images"))
+    return pages, _values(spark, "media", [f"p{i}.jpg" for i in range(4)]), _values(spark, "missing_image", ["/media/p4.jpg"])
+
+
+def verify_audit(spark, sf_dir):
+    return verify.report(*_audited(spark, sf_dir))
+
+
+def verify_counters(spark, sf_dir):
+    pages, files, _ = _audited(spark, sf_dir)
+    return verify.counters(pages, verify_audit(spark, sf_dir), files)
+
+
+def flag_counts(spark, sf_dir):
+    locales = inputs.CONFIG.url_pattern.locales
+    return inventory.flag_counts(inventory.fold(inputs.versions(spark, sf_dir), locales, ("rel_path", "page_id")))
+
+
 def queries() -> dict:
-    own = (content_inventory, content_inventory_two_locales, page_identity, page_routes, inventory_status_counts, single_locale_counts, path_safety, path_collisions, redirect_map, redirect_rules, page_titles, internal_links, broken_links, unlinked_pages, hreflang_map, hreflang_reject_counts, hreflang_alternates, slug_dates, pairs_by_date, pairs_by_slug, shared_media, media_manifest, title_similarity, pair_candidates, pair_suggestions, date_candidates, orphan_hits, orphan_hits_all_orders, fetch_plan, mirror_slugs, stale_outputs, csv_fields, csv_texts, yaml_quoting, media_paths, extract_pages, verify_report)
+    own = (verify_audit, verify_counters, flag_counts, content_inventory, content_inventory_two_locales, page_identity, page_routes, inventory_status_counts, single_locale_counts, path_safety, path_collisions, redirect_map, redirect_rules, page_titles, internal_links, broken_links, unlinked_pages, hreflang_map, hreflang_reject_counts, hreflang_alternates, slug_dates, pairs_by_date, pairs_by_slug, shared_media, media_manifest, title_similarity, pair_candidates, pair_suggestions, date_candidates, orphan_hits, orphan_hits_all_orders, fetch_plan, mirror_slugs, stale_outputs, csv_fields, csv_texts, yaml_quoting, media_paths, extract_pages, verify_report)
     return {f.__name__: f for f in own}
 
 
