@@ -46,16 +46,18 @@ def yaml_needs_quoting(value: Column) -> Column:
 
 
 def title_prefixes(markers: list[str], own: list[str] = ()) -> list[str]:
-    """Patterns of a leading date, with or without a marker such as ``News:``."""
-    either = "|".join(re.escape(m) for m in markers if m)
-    marker = f"(?:{either})?" if either else ""
-    out = [
-        rf"^\s*[0-9]{{4}}[/.\-][0-9]{{1,2}}[/.\-][0-9]{{1,2}}\s*{marker}\s*[:：]?\s*",
-        rf"^\s*[0-9]{{1,2}}[/.\-][0-9]{{1,2}}[/.\-][0-9]{{4}}\s*{marker}\s*[:：]?\s*",
-    ]
-    if either:
-        out.append(rf"^\s*(?:{either})\s*[:：]?\s*[0-9]{{1,4}}[/.\-][0-9]{{1,2}}[/.\-][0-9]{{1,4}}\s*[:：]?\s*")
-    return [*out, *own]
+    """Patterns of a leading date, with or without a marker such as ``News:``; ``own`` are the site's.
+
+    A date is three numbers between slashes, dots or dashes, the year of four digits at either end; after a marker
+    any number may be the short one.
+    """
+    sep, end = r"[/.\-]", r"\s*[:：]?\s*"
+    named = "|".join(map(re.escape, filter(None, markers)))
+    after = rf"\s*(?:{named})?" if named else r"\s*"
+    lengths = [("4", "1,2", "1,2"), ("1,2", "1,2", "4")]
+    dated = [r"^\s*" + sep.join(f"[0-9]{{{n}}}" for n in three) + after + end for three in lengths]
+    loose = sep.join(f"[0-9]{{{n}}}" for n in ("1,4", "1,2", "1,4"))
+    return dated + ([rf"^\s*(?:{named}){end}{loose}{end}"] if named else []) + list(own)
 
 
 def strip_date_prefix(title: Column, markers: list[str]) -> Column:
@@ -71,9 +73,3 @@ def bigrams(text: Column) -> Column:
     low = F.lower(text)
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
     return F.when(F.length(low) < 2, F.array().cast("array<string>")).otherwise(every)
-
-
-def bigram_tokens(text: Column) -> Column:
-    """Lower-case character bigrams as distinct tokens: the k-th of one bigram is ``bigram#k``, so that sets are multisets."""
-    ordered = F.array_sort(bigrams(text))
-    return F.transform(ordered, lambda g, i: F.concat(g, F.lit("#"), (i - F.array_position(ordered, g) + 2).cast("string")))

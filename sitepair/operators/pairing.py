@@ -10,10 +10,10 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bigram_tokens, bigrams, normalize_slug, slug_date
+from ..functions.scalars import bigrams, normalize_slug, slug_date
+from ..sources.staging import Stage
 
 UNIT = 1_000_000
 
@@ -122,49 +122,39 @@ def _greedy(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "evidence"])
 
 
-def label_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, label``: least-label propagation along ``edges(a, b)``, checkpointed each round."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sitepair-"))
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
-    for _ in range(rounds):
+def label_components(edges: DataFrame, stage: Stage) -> DataFrame:
+    """``node, label``: least-label propagation along ``edges(a, b)``, written each round, until nothing changes."""
+    both = stage.write(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stage.write(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = labels.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        # Pointer jumping: a label's own label is nearer to the least.
+        # Pointer jumping: a label's own label is nearer to the least, so that rounds are few.
         jump = new.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = new.join(jump, "label").select("node", F.col("up").alias("label")).checkpoint()
+        new = stage.write(new.join(jump, "label").select("node", F.col("up").alias("label")))
         if new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
             return new
         labels = new
-    raise RuntimeError("no fixed point")
 
 
 def match(edges: DataFrame) -> DataFrame:
     """``a, b, evidence``: declared pairs first, then the rest. Each connected component is matched by
     itself, so that a large section falls apart into small groups."""
 
+    stage = Stage(edges.sparkSession)
+
     def one_pass(rows: DataFrame) -> DataFrame:
-        groups = label_components(rows).select(F.col("node").alias("a"), "label")
+        groups = label_components(rows, stage).select(F.col("node").alias("a"), "label")
         return rows.join(groups, "a").groupBy("label").applyInPandas(_greedy, "a string, b string, evidence string")
 
-    edges = edges.select("a", "b", "score", "evidence", "declared").checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else edges
-    first = one_pass(edges.where("declared"))
+    edges = stage.write(edges.select("a", "b", "score", "evidence", "declared"))
+    first = stage.write(one_pass(edges.where("declared")))
     taken = first.select(F.explode(F.array("a", "b")).alias("k"))
     rest = edges.join(taken.withColumnRenamed("k", "a"), "a", "left_anti").join(taken.withColumnRenamed("k", "b"), "b", "left_anti")
-    return first.unionByName(one_pass(rest))
+    return first.unionByName(stage.write(one_pass(rest)))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """``translation_key, suggested_pair, pair_evidence`` for either end."""
     there = pairs.select(F.col("a").alias("translation_key"), F.col("b").alias("suggested_pair"), F.col("evidence").alias("pair_evidence"))
     return there.unionByName(pairs.select(F.col("b").alias("translation_key"), F.col("a").alias("suggested_pair"), F.col("evidence").alias("pair_evidence")))
-
-
-def best(edges: DataFrame) -> DataFrame:
-    """The best candidate of each key, greedy matching aside."""
-    w = W.partitionBy("a").orderBy(F.desc("score"), "b")
-    return edges.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")

@@ -130,47 +130,37 @@ def _bind(kind: Any, value: Any, at: str) -> Any:
         raise ConfigError(f"{at}: cannot read {value!r} as {kind.__name__}") from None
 
 
+def _known(find, value: str, error) -> bool:
+    try:
+        find(value)
+    except error:
+        return False
+    return True
+
+
 def check(c: SiteConfig) -> list[str]:
-    """Every error, in order."""
-    out = []
-    up, ex, media = c.url_pattern, c.extract, c.media
-    if c.config_version != 1:
-        out.append(f"config_version {c.config_version} is not supported (expected 1).")
-    url = urlsplit(c.site.base_url)
-    if url.scheme not in ("http", "https") or not url.netloc:
-        out.append(f"site.base_url must be an absolute http(s) URL, got '{c.site.base_url}'.")
-    if not up.lang_map:
-        out.append("url_pattern.lang_map needs one URL prefix and its locale at least.")
-    elif not all(v.strip() for v in up.lang_map.values()):
-        out.append("url_pattern.lang_map locales must be non-empty.")
-    if not up.default_lang.strip():
-        out.append("url_pattern.default_lang is required.")
-    elif up.lang_map and up.default_lang not in up.lang_map.values():
-        out.append(f"url_pattern.default_lang '{up.default_lang}' must be one of the lang_map locales.")
-    if not ex.content.strip():
-        out.append("extract.content, the CSS selector of the main content, is required.")
-    if c.site.auth_workaround and c.site.auth_workaround.type != "cookie":
-        out.append(f"site.auth_workaround.type '{c.site.auth_workaround.type}' is not supported (only 'cookie').")
-    out += [f"pairing.fallback '{h}' is not a known heuristic ({', '.join(HEURISTICS)})." for h in c.pairing.fallback if h not in HEURISTICS]
-    if c.site.encoding is not None:
-        try:
-            codecs.lookup(c.site.encoding)
-        except LookupError:
-            out.append(f"site.encoding '{c.site.encoding}' is not a known encoding.")
-    for pattern in ex.strip_title_prefix:
-        try:
-            re.compile(pattern)
-        except re.error:
-            out.append(f"extract.strip_title_prefix '{pattern}' is not a pattern.")
-    if c.site.polite.delay_ms < 0:
-        out.append(f"site.polite.delay_ms must be >= 0, got {c.site.polite.delay_ms}.")
-    if ex.text_in_image_max_length < 0:
-        out.append(f"extract.text_in_image_max_length must be >= 0, got {ex.text_in_image_max_length}.")
-    if media.thumbnails and media.thumbnails.max_width < 1:
-        out.append(f"media.thumbnails.max_width must be >= 1, got {media.thumbnails.max_width}.")
-    if media.thumbnails and not 1 <= media.thumbnails.quality <= 100:
-        out.append(f"media.thumbnails.quality must be 1-100, got {media.thumbnails.quality}.")
-    return out
+    """What is wrong, section by section of the file: the path of a field and what it lacks."""
+    up, ex, thumbs = c.url_pattern, c.extract, c.media.thumbnails
+    url, locales = urlsplit(c.site.base_url), up.lang_map.values()
+    workaround = c.site.auth_workaround.type if c.site.auth_workaround else "cookie"
+    rules = [
+        (c.config_version == 1, f"config_version: only 1 can be read, not {c.config_version}"),
+        (url.scheme in ("http", "https") and bool(url.netloc), f"site.base_url: {c.site.base_url!r} has no http(s) scheme and host"),
+        (c.site.encoding is None or _known(codecs.lookup, c.site.encoding, LookupError), f"site.encoding: no encoding is named {c.site.encoding!r}"),
+        (c.site.polite.delay_ms >= 0, f"site.polite.delay_ms: {c.site.polite.delay_ms} is negative"),
+        (workaround == "cookie", f"site.auth_workaround.type: only 'cookie' is known, not {workaround!r}"),
+        (bool(locales), "url_pattern.lang_map: at least one prefix with its locale is needed"),
+        (all(v.strip() for v in locales), "url_pattern.lang_map: a locale is empty"),
+        (bool(up.default_lang.strip()), "url_pattern.default_lang: missing"),
+        (not up.default_lang.strip() or not locales or up.default_lang in locales, f"url_pattern.default_lang: {up.default_lang!r} is no locale of lang_map"),
+        (bool(ex.content.strip()), "extract.content: a selector of the content is needed"),
+        (ex.text_in_image_max_length >= 0, f"extract.text_in_image_max_length: {ex.text_in_image_max_length} is negative"),
+        *((_known(re.compile, p, re.error), f"extract.strip_title_prefix: {p!r} is no pattern") for p in ex.strip_title_prefix),
+        *((h in HEURISTICS, f"pairing.fallback: no heuristic is named {h!r}; there are {', '.join(HEURISTICS)}") for h in c.pairing.fallback),
+        (thumbs is None or thumbs.max_width >= 1, "media.thumbnails.max_width: must be 1 or more"),
+        (thumbs is None or 1 <= thumbs.quality <= 100, "media.thumbnails.quality: must be 1 to 100"),
+    ]
+    return [said for fits, said in rules if not fits]
 
 
 def load(text: str, source: str = "config") -> SiteConfig:
@@ -185,7 +175,7 @@ def load(text: str, source: str = "config") -> SiteConfig:
     except ConfigError as e:
         raise ConfigError(f"{source}: {e}") from None
     if errors := check(config):
-        raise ConfigError(f"{source}: " + "\n  - ".join(["config is invalid:", *errors]))
+        raise ConfigError(f"{source}: " + "\n  - ".join(["not usable:", *errors]))
     return config
 
 

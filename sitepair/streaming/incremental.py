@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.identity import identify
 from ..operators.inventory import gate
@@ -11,10 +12,17 @@ from ..sources.config import SiteConfig
 
 
 def start(spark: SparkSession, source: str, schema: str, config: SiteConfig, sink: str, checkpoint: str):
-    """A query that appends what ``source`` (Parquet of ``rel_path, html``) gains to Parquet in ``sink``."""
+    """A query that adds what ``source`` (Parquet of ``rel_path, html``) gains to Parquet in ``sink``.
 
-    def add(batch: DataFrame, _: int) -> None:
+    Each batch has a folder of its own, ``batch=n``, so that a repeated one replaces itself. A page whose output path
+    an earlier batch owns is left out, whatever its case.
+    """
+
+    def add(batch: DataFrame, n: int) -> None:
         safe = gate(identify(batch, config)).where("issue is null").drop("issue")
-        extract_pages(safe, config).write.mode("append").parquet(sink)
+        if n:
+            owned = spark.read.schema("md_path string, batch long").option("basePath", sink).parquet(sink).where(F.col("batch") < n)
+            safe = safe.join(owned.select(F.lower("md_path").alias("_o")).distinct(), F.lower("md_path") == F.col("_o"), "left_anti")
+        extract_pages(safe, config).write.mode("overwrite").parquet(f"{sink}/batch={n}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()

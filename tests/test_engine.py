@@ -88,7 +88,7 @@ def test_config_errors():
         load("site: {nope: 1}")
     with pytest.raises(ConfigError) as e:
         load("config_version: 2\npairing: {fallback: [x]}")
-    assert all(x in str(e.value) for x in ("config_version", "base_url", "lang_map", "default_lang", "content", "heuristic"))
+    assert all(x in str(e.value) for x in ("config_version", "base_url", "lang_map", "default_lang", "extract.content", "heuristic"))
 
 
 def test_cli_misuse(tmp_path):
