@@ -1,13 +1,17 @@
-"""Media files: hashes with a cache, and the plan of thumbnails."""
+"""Media files: hashes with a cache, the plan of thumbnails and their making."""
 
 from __future__ import annotations
 
+import io
+import os
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import write_csv
+
 
 #: Files that are pictures.
 IMAGE_TYPES = ("jpg", "jpeg", "png", "gif", "webp")
@@ -17,12 +21,63 @@ def images_only(files: DataFrame) -> DataFrame:
     return files.where(F.lower(F.substring_index("media", ".", -1)).isin(list(IMAGE_TYPES)) & F.col("media").contains("."))
 
 
-def hashed(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """``media, bytes, modified, sha1`` of ``files(media, bytes, modified, content)``: from
-    ``cache(media, bytes, modified, sha1)`` where size and time are the same, else of the content."""
-    known = cache.select("media", "bytes", "modified", F.col("sha1").alias("_known"))
-    rows = files.join(known, ["media", "bytes", "modified"], "left")
-    return rows.select("media", "bytes", "modified", F.coalesce("_known", F.sha1("content")).alias("sha1"))
+#: The cache of hashes: size in bytes, time in microseconds.
+CACHE = "media string, bytes long, modified long, sha1 string"
+
+
+def _timed(files: DataFrame) -> DataFrame:
+    return files.select("media", "bytes", F.unix_micros("modified").alias("modified"))
+
+
+def unchanged(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """``media, bytes, modified, sha1`` of ``files(media, bytes, modified)`` whose size and time the cache knows."""
+    return _timed(files).join(cache, ["media", "bytes", "modified"])
+
+
+def changed(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """The files whose content must be read."""
+    return _timed(files).join(cache, ["media", "bytes", "modified"], "left_anti")
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of four fields of which two are numbers; others are passed over. The last row of a file counts."""
+    rows = spark.read.csv(path, schema="media string, bytes string, modified string, sha1 string, more string", header=True, multiLine=True, escape='"', mode="PERMISSIVE")
+    numbered = rows.where("more is null and sha1 is not null").select("media", F.expr("try_cast(bytes AS long) AS bytes"), F.expr("try_cast(modified AS long) AS modified"), "sha1")
+    return numbered.where("bytes is not null and modified is not null").dropDuplicates(["media"])
+
+
+def write_cache(hashed: DataFrame, path: str) -> None:
+    """Sorted by file; fields are not guarded, as no one opens it as a spreadsheet."""
+    write_csv(hashed.select("media", "bytes", "modified", "sha1"), path, ["media"], guarded=False)
+
+
+def make_thumbnails(planned: DataFrame, out: str, quality: int) -> DataFrame:
+    """``media, error`` of each row of ``planned(media, content, new_width, new_height)``; a failure stops nothing."""
+
+    def make(batches):
+        for batch in batches:
+            errors = [_thumbnail(bytes(c), f"{out}/{m}", w, h, quality) for m, c, w, h in zip(batch["media"], batch["content"], batch["new_width"], batch["new_height"], strict=True)]
+            yield pd.DataFrame({"media": batch["media"], "error": errors})
+
+    return planned.mapInPandas(make, "media string, error string")
+
+
+def _thumbnail(content: bytes, path: str, width, height, quality: int) -> str | None:
+    if pd.isna(width) or pd.isna(height):
+        return "not a picture"
+    try:
+        from PIL import Image, ImageOps
+    except ImportError:
+        return "Pillow is not installed"
+    try:
+        picture = ImageOps.exif_transpose(Image.open(io.BytesIO(content))).resize((int(width), int(height)), Image.Resampling.LANCZOS)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        kind = {"jpg": "JPEG", "jpeg": "JPEG"}.get(path.rsplit(".", 1)[-1].lower(), path.rsplit(".", 1)[-1].upper())
+        picture.save(path + ".tmp", kind, quality=quality)
+        os.replace(path + ".tmp", path)
+    except (OSError, ValueError) as e:
+        return str(e)
+    return None
 
 
 def orientation(data: bytes) -> int:

@@ -16,9 +16,9 @@ def exporters() -> dict[str, tuple[str, Column]]:
     return {"nginx": ("redirects.nginx.conf", nginx), "netlify": ("_redirects", F.concat(F.col("old"), F.lit(" "), F.col("new"), F.lit(" 301"))), **EXPORTERS}
 
 
-def redirect_map(pages: DataFrame) -> DataFrame:
-    """A row for each safe page, which has ``route``."""
-    return pages.select(F.col("source_url").alias("old_url"), F.col("route").alias("new_path"), F.col("locale").alias("lang"), "translation_key")
+def redirect_map(pages: DataFrame, *also: str) -> DataFrame:
+    """A row for each safe page, which has ``route``; ``also`` are columns of the page to keep, as to sort by."""
+    return pages.select(*also, F.col("source_url").alias("old_url"), F.col("route").alias("new_path"), F.col("locale").alias("lang"), "translation_key")
 
 
 def deployable(redirects: DataFrame) -> DataFrame:

@@ -62,12 +62,16 @@ def read_csv(text: str) -> list[list[str]]:
 
 
 def write_text(path: str, text: str) -> None:
+    write_bytes(path, text.encode("utf-8"))
+
+
+def write_bytes(path: str, data: bytes) -> None:
     """By a temporary file and a rename, so that no half-written file is left."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     held = path + ".tmp"
     try:
-        with open(held, "w", encoding="utf-8", newline="") as f:
-            f.write(text)
+        with open(held, "wb") as f:
+            f.write(data)
         os.replace(held, path)
     except BaseException:
         if os.path.exists(held):
@@ -75,10 +79,11 @@ def write_text(path: str, text: str) -> None:
         raise
 
 
-def write_csv(df: DataFrame, path: str, order: list[str], guarded: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, order: list[str], columns: list[str] | None = None, guarded: bool = True) -> None:
     """An inventory, sorted; rows come to the driver one partition at a time."""
-    rows = df.orderBy(*order).toLocalIterator()
-    write_text(path, csv_text(df.columns, rows, guarded))
+    columns = columns or df.columns
+    rows = df.orderBy(*order).select(*columns).toLocalIterator()
+    write_text(path, csv_text(columns, rows, guarded))
 
 
 def lines(text: str) -> list[str]:

@@ -61,6 +61,12 @@ def page(row: dict, images: list[dict]) -> str:
     return block(fields) + row["body"] + "\n"
 
 
+def local_images(fields: dict | None) -> list[str]:
+    """The files of a page's ``images``."""
+    images = (fields or {}).get("images")
+    return [i["local"] for i in images if isinstance(i, dict) and isinstance(i.get("local"), str)] if isinstance(images, list) else []
+
+
 def parse(yaml_text: str) -> dict | None:
     """All scalars as strings; None if it can't be read."""
     import yaml

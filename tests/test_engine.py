@@ -1,6 +1,9 @@
 """A small bilingual site, end to end, and units of the parts."""
 
+import os
 import random
+import struct
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -116,7 +119,7 @@ def test_html():
 
 
 def test_slug_dates_and_paths(spark):
-    slugs = {"20260118": "2026-01-18", "01182026": "2026-01-18", "01212024C": "2024-01-21", "news-20251104-x": "2025-11-04", "2026_cjgx": None, "99999999": None, "12345": None, "20260229": None}
+    slugs = {"20190703": "2019-07-03", "07302019": "2019-07-30", "11052018B": "2018-11-05", "gala-20201224-late": "2020-12-24", "2019_gala": None, "88888888": None, "1907": None, "20190229": None, "30072019": "2019-07-30"}
     rows = spark.createDataFrame([(s,) for s in slugs], "s string")
     assert {r[0]: str(r[1]) if r[1] else None for r in rows.select("s", slug_date(rows.s)).collect()} == slugs
     paths = {"content/con.md": True, "content/console.md": False, "a/b:c.md": True, "a./b.md": True, "content/新聞.md": False}
@@ -155,3 +158,89 @@ def test_matching_is_greedy(spark):
                 want.add((a, best[0][1]))
     df = spark.createDataFrame(pd.DataFrame([(a, b, s, "e", d, "s") for a, b, s, d in edges], columns=["a", "b", "score", "evidence", "declared", "section"]))
     assert {(r.a, r.b) for r in pairing.match(df).collect()} == want
+
+
+class Site:
+    """A client of pages held in memory; ``flaky`` addresses fail once."""
+
+    def __init__(self, pages, flaky=()):
+        self.pages, self.flaky, self.asked = pages, set(flaky), []
+
+    def request(self, url, method="GET"):
+        self.asked.append(url)
+        if url in self.flaky:
+            self.flaky.discard(url)
+            return None
+        return self.pages.get(url, (404, "text/html", b""))
+
+
+def test_orphans(spark, site, tmp_path):
+    engine, at = SiteEngine(spark, load(CONFIG)), "https://old.example.org/en/news/"
+    page = _page("n", '<h3>N</h3><img src="n.jpg"><img src="https://cdn.example/o.jpg"><img src="n.exe"><img src="gone.png">').encode()
+    pages = {at + f"{s}.php": (200, "text/html", page) for s in ("20250301", "20250301A", "20250301C", "03052025")}
+    pages |= {at + "n.jpg": (200, "image/jpeg", b"jpg"), at + "feed.php": (200, "text/xml", b"x")}
+    client = Site(pages, [at + "20250301.php"])
+    found = engine.probe_orphans(f"{site}/raw", "news", (2025, 2025), "en", client)
+    assert found == ["20250301", "20250301A", "03052025"] and at + "20250301C.php" not in client.asked
+    assert at + "02142026.php" not in client.asked
+    config = load(CONFIG.replace("ch: zh-Hant, en: en", "en: en").replace("default_lang: zh-Hant", "default_lang: en"))
+    done = SiteEngine(spark, config).fetch_orphans(f"{tmp_path}/raw", f"{tmp_path}/media", "news", [*found, "feed", "none"], client)
+    assert (done["pages_fetched"], done["pages_skipped"], done["assets_fetched"], len(done["errors"])) == (3, 0, 1, 2)
+    assert (tmp_path / "raw/en/news/20250301A.php.html").read_bytes() == page and (tmp_path / "media/en/news/n.jpg").read_bytes() == b"jpg"
+    assert SiteEngine(spark, config).fetch_orphans(f"{tmp_path}/raw", f"{tmp_path}/media", "news", found, client)["pages_skipped"] == 3
+    with pytest.raises(ValueError):
+        SiteEngine(spark, config).fetch_orphans(f"{tmp_path}/raw", "m", "../news", found, client)
+
+
+def test_hash_cache_and_redirect_order(spark, site):
+    engine = SiteEngine(spark, load(CONFIG))
+    engine.extract(f"{site}/raw", f"{site}/media", f"{site}/cached")
+    old = [r[0] for r in files.read_csv((site / "cached/redirect_map.csv").read_text())[1:]]
+    assert old == ["https://old.example.org/" + p.removesuffix(".html") for p in sorted(SITE) if "con.php" not in p]
+    cache = site / "cached/media_hash_cache.csv"
+    rows = files.read_csv(cache.read_text())
+    assert [r[0] for r in rows[1:]] == ["en/news/i.jpg", "files/a.pdf"]
+    rows[1][3] = "of the cache"  # as long as size and time are the same, the file is not read
+    cache.write_text(files.csv_text(rows[0], [*rows[1:], ["broken", "x", "1", "y"], ["short"]], guarded=False))
+    report = engine.extract(f"{site}/raw", f"{site}/media", f"{site}/cached")
+    assert "of the cache" in (site / "cached/media_manifest.csv").read_text() and not report.stale
+    (site / "media/en/news/i.jpg").write_bytes(b"another picture")
+    (site / "cached/content/old.md").write_text("x")
+    report = engine.extract(f"{site}/raw", f"{site}/media", f"{site}/cached")
+    assert "of the cache" not in cache.read_text() and report.stale == ["content/old.md"]
+    assert engine.mirror_slugs(f"{site}/raw", "news", "en") == ["02142026"] and engine.mirror_slugs(f"{site}/raw", "news", "fr") is None
+
+
+def test_thumbnails(spark, tmp_path):
+    def jpeg(width, height, turned=None):
+        exif = b"Exif\0\0MM\0*\0\0\0\x08" + struct.pack(">HHHIHHI", 1, 0x0112, 3, 1, turned, 0, 0) if turned else b""
+        app = b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif if turned else b""
+        return b"\xff\xd8" + app + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, height, width, 1) + b"\0" * 9
+
+    shown = {"a.jpg": (jpeg(2000, 1000), (1000, 500)), "b.JPEG": (jpeg(2000, 1000, 6), (1000, 2000)), "c.jpg": (jpeg(300, 200, 3), (300, 200)), "e.gif": (b"GIF89a" + struct.pack("<HH", 9, 7), (9, 7)), "bad.png": (b"no", (None, None))}
+    for name, (data, _) in shown.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "note.txt").write_bytes(b"x")
+    plan, made = SiteEngine(spark, load(CONFIG)).thumbnails(str(tmp_path), f"{tmp_path}/none")
+    assert {r.media: (r.new_width, r.new_height) for r in plan.collect()} == {k: v for k, (_, v) in shown.items()}
+    assert {r.media: r.error for r in made.collect()}["bad.png"] == "not a picture"
+
+
+def test_stream_keeps_one_page_for_each_path(spark, tmp_path):
+    from sitepair.streaming import incremental
+
+    def add(*paths):
+        spark.createDataFrame([(p, _page("t", "<p>x</p>")) for p in paths], "rel_path string, html string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        incremental.start(spark, f"{tmp_path}/in", "rel_path string, html string", load(CONFIG), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+
+    add("en/a/x.php.html", "en/a/y.php.html", "en/a/X.php.html")
+    add("en/a/Y.php.html", "en/a/z.php.html")
+    assert sorted(r.rel_path for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["en/a/X.php.html", "en/a/y.php.html", "en/a/z.php.html"]
+
+
+@pytest.mark.skipif("SITE_DIR" not in os.environ, reason="SITE_DIR and EXPECTED_DIR name a site and its expected outputs")
+def test_expected_outputs(spark, tmp_path):
+    site, expected = os.environ["SITE_DIR"], Path(os.environ["EXPECTED_DIR"])
+    SiteEngine.from_file(spark, f"{site}/config.yaml").extract(f"{site}/raw", f"{site}/media", str(tmp_path))
+    for path in filter(Path.is_file, expected.rglob("*")):
+        assert (tmp_path / path.relative_to(expected)).read_bytes().replace(b"\r", b"") == path.read_bytes().replace(b"\r", b""), path.name
