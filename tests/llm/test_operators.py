@@ -398,6 +398,58 @@ def test_topk_of_long_vectors(spark):
     assert {(r.segment, r.value) for r in probed} == {(s, x) for s, own in enumerate((5, 0)) for x in range(16) if (x ^ own).bit_count() == 2} and len(probed) == 12
 
 
+def test_topk_shuffles_less_than_its_budget(spark):
+    rng = np.random.default_rng(17)
+    vectors = rng.standard_normal((6000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<float>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = -store.executorList(True).apply(0).totalShuffleWrite()
+    got = topk.search(df, df.where(df.vec_id % 10 == 0).withColumnRenamed("vec_id", "query_id")).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    written += store.executorList(True).apply(0).totalShuffleWrite()
+    assert 0 < written < 4 * vectors.nbytes
+    signs = vectors > 0
+    want = [(q, n + 1, int(i), int(d)) for q in range(0, 6000, 10) for n, (d, i) in enumerate(sorted(zip((signs != signs[q]).sum(axis=1), range(6000), strict=True))[:10])]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_topk_shard(monkeypatch):
+    rng = np.random.default_rng(18)
+    taken = []
+    for n, bits, apart, at_once, enough in ((20_000, 64, 1, 1 << 15, 0.01), (3000, 64, 64, 1000, 0.1), (2000, 130, 2, 1 << 15, 1), (3000, 64, 24, 1 << 15, 8), (300, 7, 7, 64, 1)):
+        monkeypatch.setattr(topk, "AT_ONCE", at_once)
+        monkeypatch.setattr(topk, "HELD", at_once)
+        monkeypatch.setattr(topk, "ENOUGH", enough)
+        centres = rng.integers(0, 2, (n // 10, bits))
+        signs = np.zeros((n, -(-bits // 64) * 64), np.uint8)  # each differs from its centre in some of the first bits
+        signs[:, :bits] = centres[rng.integers(0, len(centres), n)]
+        signs[np.arange(n), rng.integers(0, apart, n)] ^= 1
+        if apart == 24:
+            signs[:, :apart] = 1  # segments of one value
+        codes = rng.permutation(np.unique(np.packbits(signs, axis=1, bitorder="little").view(np.uint64), axis=0))
+        n_ids = rng.integers(1, 4, len(codes))
+        queries = codes[rng.integers(0, len(codes), 40)]
+        queries[::2, 0] ^= np.uint64(1)
+        shard = topk.Shard(codes, n_ids, bits)
+        q, at, far = (x.tolist() for x in shard.nearest(queries, 5))
+        taken.append(len(shard.segments))
+        for i, x in enumerate(queries):
+            d = np.bitwise_count(codes ^ x).sum(axis=1).astype(int)
+            by = np.lexsort((np.arange(len(d)), d))[:5]
+            last = int(np.flatnonzero(np.cumsum(n_ids[by]) >= 5)[:1][0]) if n_ids[by].sum() >= 5 else len(by) - 1
+            want = [(int(c), int(d[c])) for c in by if d[c] <= d[by[last]]]
+            assert [(c, e) for a, c, e in zip(q, at, far, strict=True) if a == i] == want
+    assert min(taken) >= 1 and max(taken) > 8
+    for width, radius in ((1, 0), (1, 1), (1, 2), (9, 3), (9, 9)):
+        assert topk.masks(width, radius).tolist() == [x for x in range(1 << width) if x.bit_count() == radius]
+        assert topk.n_masks(width, radius) == len(topk.masks(width, radius))
+
+
+def test_topk_masks_are_probes(spark):
+    probed = topk.probes(spark.createDataFrame([([0],)], "query array<int>"), 2, 6).collect()
+    assert {r.value for r in probed} == set(topk.masks(6, 2).tolist())
+
+
 def brute_rules(text):
     w = text.encode().split()
     grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
